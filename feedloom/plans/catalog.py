@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES = ("data", "behaviour", "dashboard", "recall")
+MODULES = ("data", "behaviour", "dashboard", "recall", "evaluation")
 
 
 def load() -> dict[str, Query]:
