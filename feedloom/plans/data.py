@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import popularity, split
+from ..session import materialise
 from .registry import query
 
 R = 6
@@ -23,6 +24,13 @@ def split_rows(t):
     return split.time_split(t.interactions, borders(t).train_cutoff, borders(t).validation_cutoff)
 
 
+def prepared(t):
+    """The split table as later jobs read it: written once per data set."""
+    if "prepared" not in t.memo:
+        t.memo["prepared"] = materialise(split_rows(t))
+    return t.memo["prepared"]
+
+
 def train_events(t):
     return t.interactions.withColumn("weight", F.lit(1.0))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import content, evaluation as E
 from ..operators import item_cf, popularity, vectors
 from ..session import materialise
-from .data import _POP, borders, split_rows, train_cut, train_events
+from .data import _POP, borders, prepared, train_cut, train_events
 from .recall import NEIGHBORS, PROFILE, profiles, svd, tfidf, train_rows
 from .registry import query
 
@@ -50,7 +50,7 @@ ALL = queries_sql("validation", "SELECT item_id FROM items", "'train', 'validati
 
 
 def parts(t):
-    rows = split_rows(t)
+    rows = prepared(t)
     known = rows.filter(F.col("split") != "test")
     return rows.filter(F.col("split") == "validation"), known, rows.filter(F.col("split") == "train")
 
@@ -90,7 +90,7 @@ def _(t):
     UNION ALL SELECT 'excluded', user_id, count(*), CAST(sum(item_id) AS BIGINT) FROM x GROUP BY user_id""",
 )
 def _(t):
-    rows = split_rows(t)
+    rows = prepared(t)
     positives, excluded = E.catalog_queries(rows.filter(F.col("split") == "test"), rows, t.items)
     both = positives.withColumn("kind", F.lit("positive")).unionByName(excluded.withColumn("kind", F.lit("excluded")))
     return both.groupBy("kind", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("total"))
@@ -258,7 +258,7 @@ def _(t):
         round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hitrate FROM pn LEFT JOIN hh USING (user_id) JOIN id ON id.n = least(pn.n, 10)""",
 )
 def _(t):
-    rows = split_rows(t)
+    rows = prepared(t)
     positives, excluded = E.catalog_queries(rows.filter(F.col("split") == "test"), rows, t.items)
     return rounded(E.catalog_metrics(catalog_popular(t, positives, excluded), positives), *METRICS)
 
