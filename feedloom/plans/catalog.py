@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES = ("data", "behaviour", "dashboard", "recall", "evaluation", "ranking")
+MODULES = ("data", "behaviour", "dashboard", "recall", "evaluation", "ranking", "operations", "streams")
 
 
 def load() -> dict[str, Query]:

@@ -56,9 +56,9 @@ def _(t):
     return t.candidates.filter(merge.confident({"svd": 0.8, "visual": 0.7})).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("calibrate", f"SELECT user_id, item_id, source, round({_CAL}, 6) AS calibrated FROM candidates")
+@query("calibrate", f"SELECT user_id, item_id, source, round({_CAL}, 9) AS calibrated FROM candidates")
 def _(t):
-    return t.candidates.select("user_id", "item_id", "source", F.round(calibrate(F.col("source"), F.col("raw_score")), R).alias("calibrated"))
+    return t.candidates.select("user_id", "item_id", "source", F.round(calibrate(F.col("source"), F.col("raw_score")), 9).alias("calibrated"))
 
 
 @query("rank_normalize", ADMIT + " SELECT user_id, item_id, source, rk AS rank_in_source, round(nrm, 6) AS normalized_score FROM adm")
@@ -72,13 +72,13 @@ def _(t):
 @query(
     "merge_sources",
     MERGED + " SELECT user_id, item_id, primary_source, CAST(is_cold AS INTEGER) AS is_cold, " + ", ".join(
-        f"round(CAST(s_{n} AS DOUBLE), 6) AS s_{n}, round(CAST(c_{n} AS DOUBLE), 6) AS c_{n}, CAST(m_{n} AS DOUBLE) AS m_{n}" for n in V.SOURCES
+        f"round(CAST(s_{n} AS DOUBLE), 6) AS s_{n}, round(CAST(c_{n} AS DOUBLE), 9) AS c_{n}, CAST(m_{n} AS DOUBLE) AS m_{n}" for n in V.SOURCES
     ) + " FROM un",
 )
 def _(t):
     cells = []
     for i, n in enumerate(V.SOURCES):
-        cells += [F.round(F.col("scores")[i], R).alias(f"s_{n}"), F.round(F.col("calibrated")[i], R).alias(f"c_{n}"), F.col("mask")[i].alias(f"m_{n}")]
+        cells += [F.round(F.col("scores")[i], R).alias(f"s_{n}"), F.round(F.col("calibrated")[i], 9).alias(f"c_{n}"), F.col("mask")[i].alias(f"m_{n}")]
     return merged(t).select("user_id", "item_id", "primary_source", F.col("is_cold").cast("int").alias("is_cold"), *cells)
 
 
