@@ -74,27 +74,26 @@ def id_conflicts(events: DataFrame) -> DataFrame:
     return ends.filter(F.col("low") != F.col("high")).select("event_id", "deliveries")
 
 
-def visits(events: DataFrame) -> DataFrame:
-    """Impressions with ``visit_index`` = 1 + earlier requests that showed the item to the user."""
-    seen = events.filter(F.col("event_type") == "impression").groupBy("user_id", "item_id", "request_id").agg(
-        F.min(F.struct("received_ms", "event_id", "position")).alias("first")
-    ).select(
-        "user_id", "item_id", "request_id",
-        F.col("first.received_ms").alias("received_ms"), F.col("first.event_id").alias("event_id"),
-        F.col("first.position").alias("position"),
-    )
+def visits(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Impressions with ``visit_index`` = 1 + earlier requests that showed the item to the user.
+
+    Events are de-duplicated, so a request shows an item once and each impression is one visit.
+    ``carry`` names further columns of the impression to keep.
+    """
+    kept = ["user_id", "item_id", "request_id", "received_ms", "event_id", "position", *carry]
+    seen = events.filter(F.col("event_type") == "impression").select(*kept)
     day = F.floor(F.col("received_ms") / V.DAY_MS)
     counted = sum_before(seen, ["user_id", "item_id"], day, ["received_ms", "event_id"], F.lit(1.0), "earlier")
     return counted.withColumn("visit_index", (F.col("earlier") + 1).cast("bigint")).drop("earlier")
 
 
-def revisit_events(events: DataFrame) -> DataFrame:
+def revisit_events(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A derived event for every impression in a second or later request."""
-    again = visits(events).filter(F.col("visit_index") > 1)
+    again = visits(events, carry).filter(F.col("visit_index") > 1)
     return again.select(
         F.concat_ws(":", F.lit("revisit"), "request_id", "item_id", "position").alias("event_id"),
         F.lit("revisit").alias("event_type"), *EVENT_KEY, F.lit(None).cast("bigint").alias("dwell_ms"),
-        "received_ms", "visit_index",
+        "received_ms", "visit_index", *carry,
     )
 
 

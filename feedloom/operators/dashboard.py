@@ -52,52 +52,56 @@ def viewable_clicks(events: DataFrame, start: int, end: int) -> DataFrame:
     return rows.filter(F.col("event_type") == "click").join(seen, list(EVENT_KEY), "left_semi")
 
 
-def mark_viewable(events: DataFrame, start: int, end: int, semantics_start: int) -> DataFrame:
-    """Events of the window; ``viewable`` marks clicks with a seen impression.
+COUNTS = ("impressions", "clicks", "viewable_clicks", "likes", "not_interested", "shares", "revisits", "dwell_ms", "dwells", "acted")
 
-    One conditional maximum per exposure replaces a correlated lookup per click.
+
+def outcome_counts(events: DataFrame, start: int, end: int, semantics_start: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts per exposure (request, user, item, position) inside the window.
+
+    A click is viewable when its exposure was seen in the window: both sit in the same group, so
+    no self join of the events is needed.
     """
     first = max(start, semantics_start)
-    rows = between(events, "received_ms", start, end)
-    seen = (
-        rows.filter((F.col("event_type") == "impression") & (F.col("received_ms") >= first))
-        .select(*EVENT_KEY).distinct().withColumn("__seen", F.lit(True))
+    late = F.col("received_ms") >= first
+
+    def count(kind: str, extra: Column | None = None) -> Column:
+        test = F.col("event_type") == kind
+        return F.count_if(test if extra is None else test & extra)
+
+    grouped = between(events, "received_ms", start, end).groupBy(*EVENT_KEY, *carry).agg(
+        count("impression", late).alias("impressions"),
+        count("click").alias("clicks"),
+        count("click", late).alias("late_clicks"),
+        count("like").alias("likes"),
+        count("not_interested").alias("not_interested"),
+        count("share").alias("shares"),
+        count("revisit").alias("revisits"),
+        F.coalesce(F.sum(F.when(F.col("event_type") == "dwell", F.col("dwell_ms"))), F.lit(0)).alias("dwell_ms"),
+        count("dwell").alias("dwells"),
+        F.count_if(F.col("event_type") != "impression").alias("acted"),
     )
-    clicked = (F.col("event_type") == "click") & (F.col("received_ms") >= first) & F.col("__seen").isNotNull()
-    return rows.join(seen, list(EVENT_KEY), "left").withColumn("viewable", clicked).drop("__seen")
+    return grouped.withColumn(
+        "viewable_clicks", F.when(F.col("impressions") > 0, F.col("late_clicks")).otherwise(0)
+    ).drop("late_clicks")
 
 
-def _count(kind: str, extra: Column | None = None) -> Column:
-    test = F.col("event_type") == kind
-    return F.count_if(test if extra is None else test & extra)
+def _summed(names) -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
 
 
 def overview(
     requests: DataFrame, exposures: DataFrame, events: DataFrame, start: int, end: int, semantics_start: int
 ) -> DataFrame:
-    """One row of counts and rates."""
-    first = max(start, semantics_start)
-    marked = mark_viewable(events, start, end, semantics_start)
-    by_user = marked.groupBy("user_id").agg(
-        _count("impression", F.col("received_ms") >= first).alias("impressions"),
-        _count("click").alias("clicks"),
-        F.count_if("viewable").alias("viewable_clicks"),
-        _count("like").alias("likes"),
-        _count("share").alias("shares"),
-        _count("revisit").alias("revisits"),
-        F.sum(F.when(F.col("event_type") == "dwell", F.col("dwell_ms"))).alias("dwell_ms"),
-        _count("dwell").alias("dwells"),
-    )
-    facts = by_user.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
-          for c in ("impressions", "clicks", "viewable_clicks", "likes", "shares", "revisits", "dwell_ms", "dwells")],
-        F.count_if(F.col("revisits") > 0).alias("revisit_users"),
-    )
-    asked = between(requests, "created_ms", start, end).agg(F.count(F.lit(1))).scalar()
+    """One row of counts and rates. Every fact table is read once."""
+    by_user = outcome_counts(events, start, end, semantics_start).groupBy("user_id").agg(*_summed(COUNTS))
+    asked = between(requests, "created_ms", start, end).groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"))
     served = between(exposures, "created_ms", start, end).agg(F.count(F.lit(1))).scalar()
-    row = facts.withColumn("requests", asked).withColumn("exposures", served).withColumn(
-        "active_users", active_users(requests, events, start, end).scalar()
-    )
+    joined = by_user.join(asked, "user_id", "full_outer").na.fill(0)
+    row = joined.agg(
+        *_summed(("requests", *COUNTS)),
+        F.count_if(F.col("revisits") > 0).alias("revisit_users"),
+        F.count_if((F.col("requests") > 0) | (F.col("acted") > 0)).alias("active_users"),
+    ).withColumn("exposures", served)
     return row.select(
         "requests", "exposures", "active_users", "impressions", "clicks", "likes", "shares", "revisits", "revisit_users",
         "viewable_clicks",
@@ -119,22 +123,16 @@ def feed_breakdown(
     ``exposures`` and ``events`` carry the feed of their request. Events count only when they
     belong to a persisted exposure.
     """
-    first = max(start, semantics_start)
     zero = [F.lit(0).cast("bigint").alias(c) for c in
             ("impressions", "clicks", "viewable_clicks", "likes", "not_interested")]
     asked = between(requests, "created_ms", start, end).groupBy("feed_type").agg(F.count(F.lit(1)).alias("requests"))
     served = between(exposures, "created_ms", start, end).groupBy("feed_type").agg(F.count(F.lit(1)).alias("exposures"))
+    place = ["request_id", "item_id", "position"]
     acted = (
-        mark_viewable(events, start, end, semantics_start)
-        .join(exposures.select("request_id", "item_id", "position"), ["request_id", "item_id", "position"], "left_semi")
+        outcome_counts(events, start, end, semantics_start, ("feed_type",))
+        .join(exposures.select(*place), place, "left_semi")
         .groupBy("feed_type")
-        .agg(
-            _count("impression", F.col("received_ms") >= first).alias("impressions"),
-            _count("click").alias("clicks"),
-            F.count_if("viewable").alias("viewable_clicks"),
-            _count("like").alias("likes"),
-            _count("not_interested").alias("not_interested"),
-        )
+        .agg(*_summed(("impressions", "clicks", "viewable_clicks", "likes", "not_interested")))
     )
     nil = F.lit(0).cast("bigint")
     stacked = (
@@ -154,6 +152,10 @@ def feed_breakdown(
     )
 
 
+def _count(kind: str) -> Column:
+    return F.count_if(F.col("event_type") == kind)
+
+
 def engagement_by_feed(events: DataFrame, start: int, end: int) -> DataFrame:
     """Shares, revisits, revisiting users and mean dwell per feed."""
     rows = between(events, "received_ms", start, end)
@@ -178,19 +180,14 @@ def top_items(
     items: DataFrame, exposures: DataFrame, events: DataFrame, start: int, end: int, semantics_start: int, n: int = 10
 ) -> DataFrame:
     """Most exposed items with their conditional counts. Both facts are reduced to items before joining."""
-    first = max(start, semantics_start)
     served = between(exposures, "created_ms", start, end)
     counts = served.groupBy("item_id").agg(F.count(F.lit(1)).alias("exposures"))
+    place = ["request_id", "item_id", "position"]
     acted = (
-        mark_viewable(events, start, end, semantics_start)
-        .join(served.select("request_id", "item_id", "position"), ["request_id", "item_id", "position"], "left_semi")
+        outcome_counts(events, start, end, semantics_start)
+        .join(served.select(*place), place, "left_semi")
         .groupBy("item_id")
-        .agg(
-            _count("impression", F.col("received_ms") >= first).alias("impressions"),
-            _count("click").alias("clicks"),
-            F.count_if("viewable").alias("viewable_clicks"),
-            _count("like").alias("likes"),
-        )
+        .agg(*_summed(("impressions", "clicks", "viewable_clicks", "likes")))
     )
     names = ["impressions", "clicks", "viewable_clicks", "likes"]
     ranked = (

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import sample_key
 from ..functions.grouping import order_statistics, top_n
+from ..values import HOUR_MS
 
 SPLITS = ("train", "validation", "test")
 
@@ -14,22 +15,48 @@ SPLITS = ("train", "validation", "test")
 def time_cutoffs(interactions: DataFrame) -> DataFrame:
     """One row: train_cutoff and validation_cutoff at sorted index ceil(.8n)-1 and ceil(.9n)-1.
 
-    Fails when the three splits would not be strictly ordered and non-empty.
+    Times are counted once per value; hourly totals then locate the hour of each border, and only
+    that hour's distinct times are ordered. Fails when the three splits would not be strictly
+    ordered and non-empty.
     """
-    stats = order_statistics(
-        interactions, "ts_ms", [("train_cutoff", 0.8, "ceil"), ("validation_cutoff", 0.9, "ceil")]
+    counts = interactions.groupBy("ts_ms").agg(F.count(F.lit(1)).alias("c")).withColumn(
+        "hour", F.floor(F.col("ts_ms") / HOUR_MS)
+    )
+    everything = Window.partitionBy(F.lit(0))
+    # one row per hour of the log's time span
+    hours = (
+        counts.groupBy("hour")
+        .agg(F.sum("c").alias("c"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
+        .withColumn("upto", F.sum("c").over(everything.orderBy("hour")))
+        .withColumn("n", F.sum("c").over(everything))
+        .withColumn("first_ms", F.min("lo").over(everything))
+        .withColumn("last_ms", F.max("hi").over(everything))
+    )
+    borders = F.explode(
+        F.array(*[F.struct(F.lit(name).alias("border"), F.ceil(F.round(F.col("n") * share, 9)).alias("rank"))
+                  for name, share in (("train", 0.8), ("validation", 0.9))])
+    )
+    located = (
+        hours.select("hour", "upto", "c", "n", "first_ms", "last_ms", borders.alias("b"))
+        .filter((F.col("b.rank") <= F.col("upto")) & (F.col("b.rank") > F.col("upto") - F.col("c")))
+        .select("hour", "n", "first_ms", "last_ms", "b.border", (F.col("b.rank") - F.col("upto") + F.col("c")).alias("rank"))
+    )
+    inside = Window.partitionBy("border").orderBy("ts_ms")
+    exact = (
+        counts.join(F.broadcast(located), "hour")
+        .withColumn("upto", F.sum("c").over(inside))
+        .filter(F.col("upto") >= F.col("rank"))
+        .agg(
+            F.max("n").alias("n"), F.max("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"),
+            F.min(F.when(F.col("border") == "train", F.col("ts_ms"))).alias("train_cutoff"),
+            F.min(F.when(F.col("border") == "validation", F.col("ts_ms"))).alias("validation_cutoff"),
+        )
     )
-    ordered = (F.col("train_cutoff") < F.col("validation_cutoff")) & (F.col("validation_cutoff") < F.col("high"))
+    ordered = (F.col("train_cutoff") < F.col("validation_cutoff")) & (F.col("validation_cutoff") < F.col("last_ms"))
     checked = F.when(ordered, F.col("train_cutoff")).otherwise(
-        F.raise_error(F.lit("interactions cannot form strict chronological splits")).cast("double")
-    )
-    return stats.select(
-        "n",
-        F.col("low").cast("bigint").alias("first_ms"),
-        checked.cast("bigint").alias("train_cutoff"),
-        F.col("validation_cutoff").cast("bigint").alias("validation_cutoff"),
-        F.col("high").cast("bigint").alias("last_ms"),
+        F.raise_error(F.lit("interactions cannot form strict chronological splits")).cast("bigint")
     )
+    return exact.select("n", "first_ms", checked.alias("train_cutoff"), "validation_cutoff", "last_ms")
 
 
 def time_split(interactions: DataFrame, train_cutoff, validation_cutoff) -> DataFrame:

@@ -123,7 +123,7 @@ _ALL = _VISITS + """, ev AS (SELECT event_id, event_type, request_id, user_id, i
 def all_events(t):
     """Behaviour with the derived revisit events."""
     names = ["event_id", "event_type", "request_id", "user_id", "item_id", "position", "dwell_ms", "received_ms"]
-    again = B.revisit_events(t.behaviour).join(t.requests.select("request_id", "feed_type"), "request_id")
+    again = B.revisit_events(t.behaviour, ("feed_type",))
     return t.behaviour.select(*names, "feed_type").unionByName(again.select(*names, "feed_type"))
 
 

@@ -27,7 +27,7 @@ def train_rows(t):
 
 def tfidf(t):
     terms = content.title_terms(t.items)
-    vocab = content.vocabulary(terms, train_rows(t))
+    vocab = content.vocabulary(terms, t.items, train_rows(t))
     return vocab, content.item_vectors(terms, vocab)
 
 
