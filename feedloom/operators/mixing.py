@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.exprs import jaccard, rank_share, score_key, title_tokens
+from ..functions.grouping import top_n
 from .merge import TEXT_ID, usable_candidate
 
 PATTERNS = {
@@ -26,14 +27,21 @@ PATTERNS = {
 }
 
 
-def rank_sources(candidates: DataFrame) -> DataFrame:
-    """Usable candidates with rank_in_source and normalized_score per (user, source)."""
-    window = Window.partitionBy("user_id", "source").orderBy(score_key("raw_score").desc(), F.expr(TEXT_ID))
-    size = F.count(F.lit(1)).over(Window.partitionBy("user_id", "source"))
-    return (
-        candidates.filter(usable_candidate())
-        .withColumn("rank_in_source", F.row_number().over(window) - 1)
-        .withColumn("normalized_score", rank_share(F.col("rank_in_source"), size))
+def rank_sources(candidates: DataFrame, keep: int | None = None) -> DataFrame:
+    """Usable candidates with rank_in_source, source_size and normalized_score per (user, source).
+
+    ``keep`` bounds the rows per (user, source) before the shuffle; the sizes still count all of them.
+    """
+    usable = candidates.filter(usable_candidate())
+    order = [score_key("raw_score").desc(), F.expr(TEXT_ID)]
+    if keep is None:
+        window = Window.partitionBy("user_id", "source").orderBy(*order)
+        ranked = usable.withColumn("rank_in_source", F.row_number().over(window) - 1)
+    else:
+        ranked = top_n(usable, ["user_id", "source"], order, keep, "rank_in_source")
+    sizes = usable.groupBy("user_id", "source").agg(F.count(F.lit(1)).alias("source_size"))
+    return ranked.join(sizes, ["user_id", "source"]).withColumn(
+        "normalized_score", rank_share(F.col("rank_in_source"), F.col("source_size"))
     )
 
 
@@ -78,10 +86,12 @@ def pattern_name(policy: str) -> Column:
     )
 
 
-def fill_slots(pattern: str, items: dict[str, list[int]], limit: int) -> list[tuple[int, str, int, str]]:
+def fill_slots(
+    pattern: str, items: dict[str, list[int]], limit: int, sizes: dict[str, int] | None = None
+) -> list[tuple[int, str, int, str]]:
     """(item, used source, rank in it, requested source) per slot.
 
-    An exhausted slot borrows from the source whose next row has the highest normalised score.
+    ``sizes`` are the full source sizes where ``items`` holds only their heads. An exhausted slot borrows from the source whose next row has the highest normalised score.
     """
     cycle = [name for name, times in PATTERNS[pattern] for _ in range(times)]
     cursor = dict.fromkeys(V.MIX_SOURCES, 0)
@@ -97,7 +107,7 @@ def fill_slots(pattern: str, items: dict[str, list[int]], limit: int) -> list[tu
         return None
 
     def promise(name: str) -> float:
-        size = len(items.get(name, []))
+        size = (sizes or {}).get(name) or len(items.get(name, []))
         return 1.0 - cursor[name] / max(1, size - 1) if cursor[name] < size else -1.0
 
     chosen = []
@@ -122,33 +132,46 @@ def mix_policy(candidates: DataFrame, context: DataFrame, policy: str, limit: in
 
     ``context``: user_id, warm_user, history_count, cf_support, content_confidence.
     """
-    rows = rank_sources(candidates).join(context.withColumn("pattern", pattern_name(policy)).select("user_id", "warm_user", "pattern"), "user_id")
+    styles = context.withColumn("pattern", pattern_name(policy)).select("user_id", "warm_user", "pattern")
+    known = candidates.join(styles, "user_id")
     if policy == V.SAFE_POLICY:
-        warm_ok = (F.col("source") == "model") | ((F.col("source") == "content_profile") & F.col("is_cold"))
-        cold_ok = F.col("source").isin("content_profile", "popular", "explore")
-        rows = rows.filter(F.when(F.col("warm_user"), warm_ok).otherwise(cold_ok))
+        # cold rows keep the ranks they have among all content rows, so this source is ranked whole
+        rows = rank_sources(known).filter(
+            F.when(
+                F.col("warm_user"),
+                (F.col("source") == "model") | ((F.col("source") == "content_profile") & F.col("is_cold")),
+            ).otherwise(F.col("source").isin("content_profile", "popular", "explore"))
+        )
+        again = Window.partitionBy("user_id", "source").orderBy("rank_in_source")
+        rows = rows.withColumn("__slot", F.row_number().over(again)).filter(F.col("__slot") <= 2 * limit)
+    else:
+        # at most limit rows are used and at most limit skipped per source
+        rows = rank_sources(known, 2 * limit)
+
+    def head(name: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("source") == name, F.struct("rank_in_source", "item_id"))))
+
     packed = rows.groupBy("user_id", "pattern").agg(
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("source") == name, F.struct("rank_in_source", "item_id")))),
-                lambda e: e["item_id"],
-            ).alias(name)
-            for name in V.MIX_SOURCES
-        ]
+        *[F.transform(head(name), lambda e: e["item_id"]).alias(name) for name in V.MIX_SOURCES],
+        F.array(
+            *[F.coalesce(F.max(F.when(F.col("source") == name, F.col("source_size"))), F.lit(0)) for name in V.MIX_SOURCES]
+        ).alias("sizes"),
     )
 
     @F.pandas_udf("array<struct<item_id:long,source:string,rank_in_source:int,requested:string>>")
-    def choose(pattern: pd.Series, m: pd.Series, c: pd.Series, i: pd.Series, p: pd.Series, e: pd.Series) -> pd.Series:
-        lists = zip(pattern, m, c, i, p, e)
+    def choose(
+        pattern: pd.Series, sizes: pd.Series, m: pd.Series, c: pd.Series, i: pd.Series, p: pd.Series, e: pd.Series
+    ) -> pd.Series:
         return pd.Series(
             [
                 [dict(zip(("item_id", "source", "rank_in_source", "requested"), row))
-                 for row in fill_slots(name, {s: list(v) for s, v in zip(V.MIX_SOURCES, values)}, limit)]
-                for name, *values in lists
+                 for row in fill_slots(name, {s: list(v) for s, v in zip(V.MIX_SOURCES, values)}, limit,
+                                       {s: int(n) for s, n in zip(V.MIX_SOURCES, whole)})]
+                for name, whole, *values in zip(pattern, sizes, m, c, i, p, e)
             ]
         )
 
-    mixed = packed.select("user_id", "pattern", F.posexplode(choose("pattern", *V.MIX_SOURCES)).alias("rank", "e"))
+    mixed = packed.select("user_id", "pattern", F.posexplode(choose("pattern", "sizes", *V.MIX_SOURCES)).alias("rank", "e"))
     return mixed.select("user_id", "pattern", "rank", "e.*")
 
 

@@ -10,7 +10,7 @@ from ..operators import split
 from ..session import shared_dir
 from ..sources import files, sinks
 from .dashboard import END, START
-from .data import prepared
+from .data import prepared, split_rows
 from .ranking import _OPS, campaigns, operations
 from .registry import query
 
@@ -393,7 +393,7 @@ def _(t):
 @query("write_split", "SELECT split, user_id, item_id, ts_ms FROM split_rows")
 def _(t):
     path = fresh_path(t, "split")
-    sinks.write_split(prepared(t), path)
+    sinks.write_split(split_rows(t), path)
     return t.spark.read.schema("user_id bigint, item_id bigint, ts_ms bigint, split string").parquet(path)
 
 

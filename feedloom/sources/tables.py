@@ -78,14 +78,14 @@ class Tables:
     def served_lines(self) -> DataFrame:
         """One line per (request, item) with its position in the request.
 
-        A page holds at most 10,000 positions, so ordering one request is bounded work. Lines are
-        shuffled by request once; the minimum, the window and the join all reuse that layout.
+        Repeated lines collapse in a combinable minimum on (request, item) first, so a request with very
+        many lines is spread over its items; what is ordered per request is a page, whose positions
+        are bounded by contract. The window and the join share one layout by request.
         """
         kept = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
         lines = (
             self.raw("lineitem")
             .select("l_orderkey", "l_partkey", *kept)
-            .repartition("l_orderkey")
             .groupBy("l_orderkey", "l_partkey")
             .agg(F.min(F.struct(*kept)).alias("line"))
         )

@@ -182,3 +182,24 @@ def test_fusion_grid_names():
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "label int, score double")
     assert abs(evaluation.auc(df).first()["auc"] - (0.5 + 1 + 0 + 1) / 4) < 1e-12
+
+
+def test_mixing_heads_equal_whole_lists(spark):
+    rng = random.Random(11)
+    rows = []
+    for user in range(6):
+        for source in V.MIX_SOURCES:
+            for item in rng.sample(range(60), rng.randint(0, 45)):
+                rows.append((user, item, source, rng.random(), 1.0, 1, False, True))
+    schema = "user_id long, item_id long, source string, raw_score double, confidence double, support int, is_cold boolean, eligible boolean"
+    df = spark.createDataFrame(rows, schema)
+    context = df.select("user_id").distinct().select(
+        "user_id", (F.col("user_id") % 2 == 0).alias("warm_user"), F.lit(9).alias("history_count"), F.lit(3).alias("cf_support"), F.lit(0.5).alias("content_confidence")
+    )
+    got = {}
+    for r in mixing.mix_policy(df, context, V.DYNAMIC_POLICY, 8).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append((r["item_id"], r["source"]))
+    for user in range(6):
+        lists = {s: [i for _, _, i in sorted((-round(x[3], 9), str(x[1]), x[1]) for x in rows if x[0] == user and x[2] == s)] for s in V.MIX_SOURCES}
+        want = mixing.fill_slots("content_cf" if user % 2 == 0 else "cold", lists, 8)
+        assert got[user] == [(r[0], r[1]) for r in want]
