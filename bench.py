@@ -30,7 +30,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = build_session(
-        "feedloom-bench", f"local[{cpus}]", spark__sql__shuffle__partitions=str(2 * int(cpus)), spark__ui__enabled="false",
+        "feedloom-bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="20g", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

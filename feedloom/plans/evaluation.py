@@ -296,7 +296,7 @@ def _(t):
     return E.query_set_digest(all_queries(t))
 
 
-@query("cohort_match", "SELECT 0 AS comparable, 0 AS equal FROM (SELECT count(*) FROM orders)")
+@query("cohort_match")
 def _(t):
     left, right = warm_queries(t), E.eval_queries(*parts(t), t.items, purpose="other", seed=7)
     a = E.ranking_metrics(E.random_scores(left, SEED))
