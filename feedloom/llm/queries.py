@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import decontaminate, kd_shards, language_codes, secret_links, sentencepiece_bpe, trie_owners
 from .common import documents, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,49 @@ def vocabulary() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(documents(spark, sf_dir), vocabulary()))
+
+
+@query
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
+    return secret_links.digests(secret_links.find_secrets(documents(spark, sf_dir)))
+
+
+@query
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous."""
+    return language_codes.identify(documents(spark, sf_dir))
+
+
+@query
+def op6_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256."""
+    return trie_owners.exact_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op6_trie_owners"] = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.n AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g USING (t)
+"""
+
+
+@query
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    dimensions = {
+        "length": F.log1p(F.octet_length(F.coalesce("text", F.lit(""))).cast("double")),
+        "source": F.crc32(F.coalesce("source", F.lit("")).cast("binary")),
+        "lang": F.crc32(F.coalesce("lang", F.lit("")).cast("binary")),
+    }
+    rows = kd_shards.shard_by_bytes(documents(spark, sf_dir), shards=40, dimensions=dimensions)
+    return rows.withColumn("law", F.lit("bytes"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap: benchmark items found in documents."""
+    items = decontaminate.question_and_answer(ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.contaminated(documents(spark, sf_dir), items)
