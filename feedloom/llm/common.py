@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +30,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches into pieces of ``rows`` rows at most, to bound what numpy unfolds at once."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``size`` bytes of the string column, one row at least."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + (n or 0) > size:
@@ -50,25 +44,27 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
             yield batch.slice(start)
 
 
-def maybe_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose 64-bit hash ``key`` may occur in ``wanted`` (same column).
+def flagged(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """Rows of ``df`` with a flag: whether the 64-bit hash ``key`` may occur in ``wanted`` (same column).
 
-    The wanted hashes set bits of one bitmap of fixed size (``BITMAP_BITS``), which is broadcast. False
-    positives pass, wanted rows never go; an exact join follows. It keeps the texts of unwanted rows out
-    of that join's shuffle.
+    The wanted hashes set bits of one bitmap of fixed size (``BITMAP_BITS``), which is broadcast. Some
+    unwanted rows are flagged, wanted ones always; an exact join of the flagged rows follows. It keeps the
+    texts of the other rows out of that join's shuffle.
     """
-    place = F.expr(f"pmod({key}, {BITMAP_BITS})")
-    bits = wanted.select(
-        (place / 64).cast("int").alias("__word"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) AS int))").alias("__bit")
-    ).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    word = (F.expr(f"pmod({key}, {BITMAP_BITS})") / 64).cast("int").alias("__word")
+    bit = f"shiftleft(1L, cast(pmod({key}, 64) AS int))"
+    bits = wanted.select(word, F.expr(bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     return (
-        df.withColumn("__word", (place / 64).cast("int"))
-        .join(F.broadcast(bits), "__word")
-        .filter(F.expr(f"(__bits & shiftleft(1L, cast(pmod({key}, 64) AS int))) != 0"))
-        .drop("__word", "__bits")
+        df.select("*", word).join(F.broadcast(bits), "__word", "left")
+        .withColumn(flag, F.coalesce(F.expr(f"(__bits & {bit}) != 0"), F.lit(False))).drop("__word", "__bits")
     )
 
 
+def maybe_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose hash may occur in ``wanted``; see ``flagged``."""
+    return flagged(df, key, wanted, "__among").filter("__among").drop("__among")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, root) for every node of an edge, root the smallest node of its component.
 
