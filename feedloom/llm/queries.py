@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kd_shards, language_codes, secret_links, sentencepiece_bpe, trie_owners
+from . import (
+    decontaminate,
+    fuzzy_lines,
+    jaccard_join,
+    kd_shards,
+    language_codes,
+    perspectives,
+    secret_links,
+    sentencepiece_bpe,
+    surrogates,
+    trie_owners,
+)
 from .common import documents, ready
 
+#: Key of the registered query only; a user brings a secret of their own.
+SURROGATE_KEY = b"registered query"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,3 +88,50 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: benchmark items found in documents."""
     items = decontaminate.question_and_answer(ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.contaminated(documents(spark, sf_dir), items)
+
+
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text: every document without the lines that repeat an earlier one."""
+    return fuzzy_lines.line_report(documents(spark, sf_dir))
+
+
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_entities, text: every document with surrogates for personal data."""
+    return surrogates.replace_entities(documents(spark, sf_dir), SURROGATE_KEY)
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id: three-word shingles, Jaccard 0.9 or more."""
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, percent=90)
+
+
+@query
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of every conversation rendered from the side of every participant."""
+    return perspectives.rotate(ready(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op10_perspectives"] = """
+WITH s AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+r AS (
+  SELECT c.conv_id, s.perspective, c.turn, c.role, coalesce(c.text, '') AS x,
+         CASE WHEN c.role = s.perspective THEN 'assistant' WHEN c.role = 'system' THEN 'system' ELSE 'user' END AS chat_role
+  FROM conversations c JOIN s ON c.conv_id = s.conv_id
+), h AS (
+  SELECT *, '<|' || chat_role || CASE WHEN chat_role = 'user' THEN coalesce(' name=' || role, '') ELSE '' END || '|>' || chr(10) AS head FROM r
+), m AS (SELECT *, head || x || '<|end|>' || chr(10) AS rendered FROM h),
+p AS (
+  SELECT *, length(rendered) AS len,
+         coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, x
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM m
+)
+SELECT conv_id, perspective, turn, chat_role, CASE WHEN chat_role = 'user' THEN role END AS name, rendered,
+       CAST(before AS BIGINT) AS start, CAST(len AS BIGINT) AS length,
+       CAST(before + CASE WHEN chat_role = 'assistant' THEN length(head) ELSE len END AS BIGINT) AS train_start,
+       CAST(before + CASE WHEN chat_role = 'assistant' THEN len - 1 ELSE len END AS BIGINT) AS train_end
+FROM p
+"""
