@@ -203,11 +203,16 @@ def _class_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(right) + 1) * PARTS, pa.int32()), pa.array(parts.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, flat], names=["sig", "hashes", "parts"]).filter(pa.array(right, pa.bool_()))
 
-    return texts.mapInArrow(run, "sig binary, hashes array<bigint>, parts array<int>").dropDuplicates(["sig"])
+    return texts.mapInArrow(run, "sig binary, hashes array<bigint>, parts array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the suffix filter and reach the threshold on their whole sets."""
+def _verified(docs: DataFrame, key: str, text: str, n: int, pairs: DataFrame, standing: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the suffix filter and reach the threshold on their whole sets.
+
+    Only the texts of classes in a pair are read again, from the one document that stands for each (k, sig).
+    """
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(standing, "sig").select("k", "sig")
+    sets = materialise(_class_sets(docs, key, text, n, classes))
     small = sets.select("sig", "parts", F.size("hashes").alias("n"))
     left, right = (small.select(*[F.col(c).alias(f"{x}_{c}") for c in small.columns]) for x in "ab")
     # suffix filter: what two sets differ by in each part adds up to no more than they may differ by
@@ -247,11 +252,8 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
         .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     )
     first = materialise(first)
-    # one document stands for each class that can meet another
     standing = rows.filter("n > 0").groupBy("sig").agg(F.min("k").alias("k"))
-    classes = postings.select("sig").distinct().join(standing, "sig").select("k", "sig")
-    sets = materialise(_class_sets(docs, key, text, n, classes))
-    linked = materialise(_verified(first, sets, percent))
+    linked = materialise(_verified(docs, key, text, n, first, standing, percent))
     joined = components(linked)
     # classes the leader did not bring together meet the others of their bucket
     named = postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("root", "sig"))
@@ -269,7 +271,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
         .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = materialise(_verified(again, sets, percent))
+    more = materialise(_verified(docs, key, text, n, materialise(again), standing, percent))
     return rows, components(linked.unionByName(more))
 
 
