@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 INDEX_BUCKETS = 1024
 SKETCH_ACCURACY = 100_000
-SMALL_GROUP = 1_000_000
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -104,7 +103,6 @@ def order_statistics(
         F.max("__v").alias("high"),
         F.percentile_approx("__v", [float(c) for c in cuts], SKETCH_ACCURACY).alias("__cut"),
     )
-    whole = F.col("n") <= SMALL_GROUP
     targets = []
     for i, (_, q, mode) in enumerate(points):
         if mode == "ceil":
@@ -120,8 +118,8 @@ def order_statistics(
                 F.lit(i).alias("point"),
                 rank.alias("rank"),
                 part.alias("part"),
-                F.when(whole, F.col("low")).otherwise(F.col("__cut")[i]).alias("lo"),
-                F.when(whole, F.col("high")).otherwise(F.col("__cut")[i + len(points)]).alias("hi"),
+                F.col("__cut")[i].alias("lo"),
+                F.col("__cut")[i + len(points)].alias("hi"),
             )
         )
     per_group = sketch.select(*keys, "n", "low", "high", F.array(*targets).alias("__targets"))
@@ -139,11 +137,16 @@ def order_statistics(
         .agg(F.count(F.lit(1)).alias("__c"), *[F.max(f).alias(f) for f in facts])
     )
     window = Window.partitionBy(*keys, "point").orderBy(F.col("__v").asc_nulls_first())
+    below = F.max(F.when(F.col("__v").isNull(), F.col("__upto")))
     answer = (
         histogram.withColumn("__upto", F.sum("__c").over(window))
-        .filter(F.col("__v").isNotNull())
         .groupBy(*keys, "point")
         .agg(
+            # the wanted rows must lie inside the bracket; a sketch that missed them stops the job
+            F.assert_true(
+                (F.coalesce(below, F.lit(0)) < F.max("rank")) & (F.max("__upto") >= F.least(F.max("n"), F.max("rank") + F.when(F.max("part") > 0, 1).otherwise(0))),
+                F.lit("order statistic outside its bracket"),
+            ).alias("__held"),
             F.min(F.when(F.col("__upto") >= F.col("rank"), F.col("__v"))).alias("__low"),
             F.min(F.when(F.col("__upto") >= F.col("rank") + 1, F.col("__v"))).alias("__high"),
             *[F.max(f).alias(f) for f in facts],
@@ -156,5 +159,6 @@ def order_statistics(
     result = answer.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in ("n", "low", "high")],
         *[F.max(F.when(F.col("point") == i, F.col("__answer"))).alias(name) for i, (name, _, _) in enumerate(points)],
-    )
+        F.max("__held").alias("__held"),
+    ).filter(F.col("__held").isNull()).drop("__held")
     return result.drop("__all") if lone else result

@@ -6,7 +6,9 @@ the greedy choices run as small per-list helpers inside Arrow batches: no group
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Iterator
+from itertools import chain, cycle, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -86,45 +88,33 @@ def pattern_name(policy: str) -> Column:
     )
 
 
-def fill_slots(
-    pattern: str, items: dict[str, list[int]], limit: int, sizes: dict[str, int] | None = None
-) -> list[tuple[int, str, int, str]]:
-    """(item, used source, rank in it, requested source) per slot.
+def fill_slots(pattern: str, rows: dict[str, list[tuple[int, int, float]]], limit: int) -> list[tuple[int, str, int, str]]:
+    """(item, used source, its rank there, requested source) per slot, from (item, rank, normalised score) rows.
 
-    ``sizes`` are the full source sizes where ``items`` holds only their heads. An exhausted slot borrows from the source whose next row has the highest normalised score.
+    Every source is a queue; a slot asks the pattern's source first and then, if that has run dry, the
+    others by the score at their head. Items that have a slot are passed over.
     """
-    cycle = [name for name, times in PATTERNS[pattern] for _ in range(times)]
-    cursor = dict.fromkeys(V.MIX_SOURCES, 0)
-    used: set[int] = set()
-
-    def take(name: str) -> tuple[int, int] | None:
-        rows = items.get(name, [])
-        while cursor[name] < len(rows):
-            rank = cursor[name]
-            cursor[name] = rank + 1
-            if rows[rank] not in used:
-                return rows[rank], rank
-        return None
-
-    def promise(name: str) -> float:
-        size = (sizes or {}).get(name) or len(items.get(name, []))
-        return 1.0 - cursor[name] / max(1, size - 1) if cursor[name] < size else -1.0
-
-    chosen = []
-    for slot in range(limit):
-        wanted = source = cycle[slot % len(cycle)]
-        found = take(wanted)
-        if found is None:
-            # sorted is stable: equal promises keep the source order
-            for source in sorted(V.MIX_SOURCES, key=promise, reverse=True):
-                found = take(source)
-                if found is not None:
-                    break
-        if found is None:
+    queues = {name: deque(rows.get(name, ())) for name in V.MIX_SOURCES}
+    slots: dict[int, tuple[int, str, int, str]] = {}
+
+    def preferred(first: str) -> Iterator[str]:
+        yield first
+        # sorted is stable: equal scores keep the order of the sources
+        yield from sorted((name for name, queue in queues.items() if queue), key=lambda name: -queues[name][0][2])
+
+    def offers(first: str) -> Iterator[tuple[int, str, int, str]]:
+        for name in preferred(first):
+            while queues[name]:
+                item, rank, _ = queues[name].popleft()
+                yield item, name, rank, first
+
+    plan = chain.from_iterable(repeat(name, times) for name, times in PATTERNS[pattern])
+    for wanted in islice(cycle(plan), limit):
+        offer = next((o for o in offers(wanted) if o[0] not in slots), None)
+        if offer is None:
             break
-        used.add(found[0])
-        chosen.append((found[0], source, found[1], wanted))
-    return chosen
+        slots[offer[0]] = offer
+    return list(slots.values())
 
 
 def mix_policy(candidates: DataFrame, context: DataFrame, policy: str, limit: int) -> DataFrame:
@@ -148,56 +138,39 @@ def mix_policy(candidates: DataFrame, context: DataFrame, policy: str, limit: in
         # at most limit rows are used and at most limit skipped per source
         rows = rank_sources(known, 2 * limit)
 
-    def head(name: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("source") == name, F.struct("rank_in_source", "item_id"))))
-
-    packed = rows.groupBy("user_id", "pattern").agg(
-        *[F.transform(head(name), lambda e: e["item_id"]).alias(name) for name in V.MIX_SOURCES],
-        F.array(
-            *[F.coalesce(F.max(F.when(F.col("source") == name, F.col("source_size"))), F.lit(0)) for name in V.MIX_SOURCES]
-        ).alias("sizes"),
-    )
+    ordered = F.array_sort(F.collect_list(F.struct("source", "rank_in_source", "item_id", "normalized_score")))
+    packed = rows.groupBy("user_id", "pattern").agg(ordered.alias("rows"))
 
     @F.pandas_udf("array<struct<item_id:long,source:string,rank_in_source:int,requested:string>>")
-    def choose(
-        pattern: pd.Series, sizes: pd.Series, m: pd.Series, c: pd.Series, i: pd.Series, p: pd.Series, e: pd.Series
-    ) -> pd.Series:
-        return pd.Series(
-            [
-                [dict(zip(("item_id", "source", "rank_in_source", "requested"), row))
-                 for row in fill_slots(name, {s: list(v) for s, v in zip(V.MIX_SOURCES, values)}, limit,
-                                       {s: int(n) for s, n in zip(V.MIX_SOURCES, whole)})]
-                for name, whole, *values in zip(pattern, sizes, m, c, i, p, e)
-            ]
-        )
+    def choose(pattern: pd.Series, source: pd.Series, item: pd.Series, rank: pd.Series, score: pd.Series) -> pd.Series:
+        def one(name, *columns):
+            lists: dict[str, list] = {}
+            for source, *row in zip(*columns):
+                lists.setdefault(source, []).append(tuple(row))
+            return [dict(zip(("item_id", "source", "rank_in_source", "requested"), slot)) for slot in fill_slots(name, lists, limit)]
 
-    mixed = packed.select("user_id", "pattern", F.posexplode(choose("pattern", "sizes", *V.MIX_SOURCES)).alias("rank", "e"))
+        return pd.Series([one(*columns) for columns in zip(pattern, source, item, rank, score)])
+
+    chosen = choose("pattern", "rows.source", "rows.item_id", "rows.rank_in_source", "rows.normalized_score")
+    mixed = packed.select("user_id", "pattern", F.posexplode(chosen).alias("rank", "e"))
     return mixed.select("user_id", "pattern", "rank", "e.*")
 
 
 def capped_order(sources: list[str], limit: int, caps: dict[str, int]) -> list[int]:
-    """Indexes of a ranked list under soft caps: each window of ten takes rows in order while their
-    source has room; only a window that stays short takes the rows it passed over."""
-    waiting, order = list(range(len(sources))), []
-    while waiting and len(order) < limit:
-        room = min(10, limit - len(order))
-        counts: Counter = Counter()
-        taken, passed = [], []
-        for i in waiting:
-            if len(taken) == room:
-                break
-            name = sources[i]
-            if name in caps and counts[name] >= caps[name]:
-                passed.append(i)
-            else:
-                counts[name] += 1
-                taken.append(i)
-        taken += passed[: room - len(taken)]
-        if not taken:
-            break
-        done = set(taken)
-        order += taken
-        waiting = [i for i in waiting if i not in done]
+    """Indexes of a ranked list under soft caps, in windows of ten.
+
+    Of the rows still there, those whose number within their source is below the source's cap come first;
+    only what a window then still lacks comes from the others. Both keep the order of the list.
+    """
+    left, order = np.arange(len(sources)), []
+    names = np.array(sources, dtype=object)
+    bound = np.array([caps.get(name, len(sources)) for name in sources], dtype=int)
+    while len(left) and len(order) < limit:
+        number = pd.Series(names[left]).groupby(names[left]).cumcount().to_numpy()
+        fits = number < bound[left]
+        window = np.concatenate([left[fits], left[~fits]])[: min(10, limit - len(order))]
+        order += window.tolist()
+        left = left[~np.isin(left, window)]
     return order
 
 
@@ -323,47 +296,40 @@ def active_boosts(campaigns: DataFrame, users: DataFrame, feed_type: str, now: i
     return best.select("user_id", "item_id", "b.priority", "b.position", "b.campaign_id")
 
 
-def boosted_order(items: list[int], boosts: list[tuple[int, int, int]], limit: int) -> list[tuple[int, bool]]:
-    """(item, forced) per position. ``boosts`` holds (item, position, priority).
+def place_boosts(ranked: DataFrame, boosts: DataFrame, limit: int) -> DataFrame:
+    """Lists with the user's boosts at their positions: item_id, rank, forced, and the row's source.
 
-    Weaker boosts are inserted first, so the strongest ends exactly at its wanted position.
+    The boosts are folded into the array of the other rows from the weakest on (priority, then item id as
+    text), so the strongest ends exactly at its wanted position.
     """
-    forced = {item for item, _, _ in boosts}
-    row = [(item, False) for item in items if item not in forced]
-    for item, position, _ in sorted(boosts, key=lambda b: (-b[2], str(b[0])), reverse=True):
-        row.insert(min(position, len(row), max(0, limit - 1)), (item, True))
-    return row[:limit]
-
-
-def place_boosts(ranked: DataFrame, boosts: DataFrame, limit: int) -> DataFrame:
-    """Lists with the user's boosts at their positions: item_id, rank, forced, and the row's source."""
     lists = ranked.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "item_id", "source"))).alias("rows")
+        F.array_sort(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("item_id").cast("bigint").alias("item_id"), "source"))).alias("rows")
     )
-    wanted = boosts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "position", "priority"))).alias("b"))
-    joined = lists.join(wanted, "user_id", "full_outer")
-
-    @F.pandas_udf("array<struct<item_id:long,forced:boolean>>")
-    def order(items: pd.Series, ids: pd.Series, positions: pd.Series, priorities: pd.Series) -> pd.Series:
-        def plain(value):
-            return [] if value is None else [int(v) for v in value]
-
-        return pd.Series(
-            [
-                [{"item_id": item, "forced": forced} for item, forced in
-                 boosted_order(plain(i), list(zip(plain(a), plain(b), plain(c))), limit)]
-                for i, a, b, c in zip(items, ids, positions, priorities)
-            ]
-        )
-
-    placed = joined.select(
-        "user_id",
-        F.map_from_entries(F.transform("rows", lambda r: F.struct(r["item_id"], r["source"]))).alias("source_of"),
-        order(F.col("rows.item_id"), F.col("b.item_id"), F.col("b.position"), F.col("b.priority")).alias("o"),
+    strength = F.struct(
+        F.col("priority").cast("bigint").alias("priority"), F.col("item_id").cast("string").alias("text"),
+        F.col("item_id").cast("bigint").alias("item_id"), F.col("position").cast("bigint").alias("position"),
     )
-    rows = placed.select("user_id", "source_of", F.posexplode("o").alias("rank", "e"))
-    source = F.when(F.col("e.forced"), "forced").otherwise(F.col("source_of")[F.col("e.item_id")])
-    return rows.select("user_id", "rank", F.col("e.item_id").alias("item_id"), F.col("e.forced").alias("forced"), source.alias("source"))
+    wanted = boosts.groupBy("user_id").agg(F.collect_list(strength).alias("b"))
+    weakest_first = F.array_sort(
+        F.coalesce("b", F.array().cast("array<struct<priority:bigint,text:string,item_id:bigint,position:bigint>>")),
+        lambda x, y: F.when(x["priority"] != y["priority"], F.signum(x["priority"] - y["priority"]).cast("int"))
+        .when(x["text"] == y["text"], 0).when(x["text"] > y["text"], -1).otherwise(1),
+    )
+    joined = lists.join(wanted, "user_id", "full_outer").withColumn("b", weakest_first)
+    plain = F.transform(
+        F.filter(F.coalesce("rows", F.array().cast("array<struct<rank:bigint,item_id:bigint,source:string>>")), lambda r: ~F.array_contains("b.item_id", r["item_id"])),
+        lambda r: F.struct(r["item_id"].cast("bigint").alias("item_id"), F.lit(False).alias("forced"), r["source"].alias("source")),
+    )
+
+    def put(row: Column, boost: Column) -> Column:
+        at = F.least(boost["position"], F.size(row), F.lit(max(0, limit - 1))).cast("int")
+        own = F.struct(boost["item_id"].cast("bigint").alias("item_id"), F.lit(True).alias("forced"), F.lit("forced").alias("source"))
+        return F.concat(F.slice(row, F.lit(1), at), F.array(own), F.slice(row, at + 1, F.size(row)))
+
+    kind = "array<struct<item_id:bigint,forced:boolean,source:string>>"
+    placed = joined.select("user_id", F.aggregate("b", plain.cast(kind), lambda row, boost: put(row, boost).cast(kind)).alias("o"))
+    rows = placed.select("user_id", F.posexplode(F.slice("o", 1, limit)).alias("rank", "e"))
+    return rows.select("user_id", "rank", "e.item_id", "e.forced", "e.source")
 
 
 def source_overlap(candidates: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Union of sources, re-ranking, mixing and feeds."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -152,6 +153,11 @@ def _(t):
     return merge.protected_rerank(with_ranker(t), "rs", 0.4).select("user_id", "item_id", F.col("final_rank").cast("bigint").alias("final_rank"))
 
 
+def _ranked(rows, *order):
+    """All rows with their rank from 0 within the user."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1)
+
+
 @query(
     "policy_score",
     ALL + """, ls AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id DESC) - 1 AS rank FROM qs WHERE label = 1 OR item_id % 3 = 0)
@@ -161,7 +167,7 @@ def _(t):
 def _(t):
     queries = materialise(all_queries(t))
     listed = queries.filter((F.col("label") == 1) | (F.col("item_id") % 3 == 0))
-    ranked = merge.top_n(listed, ["user_id"], [F.col("item_id").desc()], 10_000)
+    ranked = _ranked(listed, F.col("item_id").desc())
     return merge.policy_score(ranked, queries).select("user_id", "item_id", "score")
 
 
@@ -605,9 +611,7 @@ _FALL = MERGED + """, tr AS (SELECT user_id, item_id, primary_source AS source,
 
 @query("fallback_plan", _FALL)
 def _(t):
-    def listed(rows, *order):
-        return merge.top_n(rows, ["user_id"], list(order), 10_000)
-
+    listed = _ranked
     union = merged(t).withColumn("source", F.col("primary_source")).filter((F.col("source") != "explore") & (F.col("user_id") % 3 == 0))
     of = lambda name: t.candidates.filter(F.col("source") == name)
     rows = feeds.fallback_plan(

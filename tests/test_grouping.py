@@ -18,7 +18,6 @@ def test_order_statistics_match_numpy(spark):
 
 def test_order_statistics_inside_brackets(spark, monkeypatch):
     # large groups read only a bracket around each point; equal values may fill it
-    monkeypatch.setattr(grouping, "SMALL_GROUP", 10)
     monkeypatch.setattr(grouping, "SKETCH_ACCURACY", 50)
     rng = np.random.default_rng(2)
     values = [float(v) for v in np.concatenate([rng.normal(0, 1, 3000), np.full(1500, 0.25)])]

@@ -48,9 +48,13 @@ def test_mmr_equals_the_plain_greedy_rule(seed):
     assert mixing.mmr_order(tokens) == _plain_mmr(tokens)
 
 
+def scored(lists):
+    return {name: [(item, r, 1 - r / max(1, len(rows) - 1)) for r, item in enumerate(rows)] for name, rows in lists.items()}
+
+
 def test_slots_follow_the_pattern_and_borrow():
     items = {"model": list(range(100, 110)), "content_profile": [1, 2, 100], "popular": [3]}
-    rows = mixing.fill_slots("warm_safe", items, 15)
+    rows = mixing.fill_slots("warm_safe", scored(items), 15)
     assert [r[1] for r in rows[:10]] == ["model"] * 7 + ["content_profile"] * 2 + [rows[9][1]]
     assert len({r[0] for r in rows}) == len(rows) == 13
     assert any(r[1] != r[3] for r in rows)
@@ -69,15 +73,26 @@ def test_safe_warm_closed_form_equals_slot_filling(spark):
     context = df.select("user_id").distinct().select(
         "user_id", F.lit(True).alias("warm_user"), F.lit(9).alias("history_count"), F.lit(0).alias("cf_support"), F.lit(0.0).alias("content_confidence")
     )
-    closed = {(r["user_id"], r["rank"]): r["item_id"] for r in mixing.mix_safe_warm(df, 30).collect()}
-    greedy = {(r["user_id"], r["rank"]): r["item_id"] for r in mixing.mix_policy(df, context, V.SAFE_POLICY, 30).collect()}
+    closed = {(r["user_id"], r["rank"]): (r["item_id"], r["rank_in_source"]) for r in mixing.mix_safe_warm(df, 30).collect()}
+    greedy = {(r["user_id"], r["rank"]): (r["item_id"], r["rank_in_source"]) for r in mixing.mix_policy(df, context, V.SAFE_POLICY, 30).collect()}
     assert closed == greedy
 
 
-def test_boosts_take_their_positions():
-    assert mixing.boosted_order([1, 2, 3], [(9, 0, 5), (2, 1, 1)], 10) == [(9, True), (1, False), (2, True), (3, False)]
-    assert mixing.boosted_order([1, 2], [(7, 40, 0)], 3) == [(1, False), (2, False), (7, True)]
-    assert mixing.boosted_order([], [(7, 3, 0)], 5) == [(7, True)]
+def test_boosts_take_their_positions(spark):
+    rows = [(u, r, i, "svd") for u, items in {1: [1, 2, 3], 2: [1, 2], 4: [5]}.items() for r, i in enumerate(items)]
+    ranked = spark.createDataFrame(rows, "user_id long, rank int, item_id long, source string")
+    wanted = [(1, 9, 0, 5), (1, 2, 1, 1), (2, 7, 40, 0), (3, 7, 3, 0)]
+    boosts = spark.createDataFrame(wanted, "user_id long, item_id long, position int, priority int")
+
+    def placed(limit):
+        got = {}
+        for r in mixing.place_boosts(ranked, boosts, limit).orderBy("user_id", "rank").collect():
+            got.setdefault(r["user_id"], []).append((r["item_id"], r["forced"]))
+        return got
+
+    got = placed(10)
+    assert got[1] == [(9, True), (1, False), (2, True), (3, False)] and got[3] == [(7, True)] and got[4] == [(5, False)]
+    assert placed(3)[2] == [(1, False), (2, False), (7, True)]
 
 
 def test_merge_primary_source_and_evidence(spark):
@@ -201,5 +216,5 @@ def test_mixing_heads_equal_whole_lists(spark):
         got.setdefault(r["user_id"], []).append((r["item_id"], r["source"]))
     for user in range(6):
         lists = {s: [i for _, _, i in sorted((-round(x[3], 9), str(x[1]), x[1]) for x in rows if x[0] == user and x[2] == s)] for s in V.MIX_SOURCES}
-        want = mixing.fill_slots("content_cf" if user % 2 == 0 else "cold", lists, 8)
+        want = mixing.fill_slots("content_cf" if user % 2 == 0 else "cold", scored(lists), 8)
         assert got[user] == [(r[0], r[1]) for r in want]
