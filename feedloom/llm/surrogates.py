@@ -41,9 +41,9 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "son ley ton man er ez ini".split(), "cyrillic": "ов ев ин".split(), "greek": "όπουλος ίδης άκης".split()}
 
-_GENDER = {title: g for g, titles in TITLES.items() for title in titles} | {n: g for (_, g), names in GIVEN.items() for n in names}
+_GENDER = {t: g for g, titles in TITLES.items() for title in titles for t in (title, title.upper())} | {n: g for (_, g), names in GIVEN.items() for n in names}
 _GIVEN = {n for names in GIVEN.values() for n in names}
-_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_TITLE = "|".join(sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 NAME = re.compile(rf"\b(?:(?P<title>{_TITLE})\.?[ \xa0](?P<one>{_NAME})(?:[ \xa0](?P<two>{_NAME}))?|(?P<given>{'|'.join(sorted(_GIVEN))})[ \xa0](?P<last>{_NAME}))\b")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\b")
