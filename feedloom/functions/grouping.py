@@ -95,14 +95,20 @@ def order_statistics(
         data, keys, lone = data.withColumn("__all", F.lit(0)), ["__all"], True
     else:
         lone = False
-    slack = 3.0 / SKETCH_ACCURACY
-    cuts = [max(0.0, q - slack) for _, q, _ in points] + [min(1.0, q + slack) for _, q, _ in points]
+    # brackets from tight to wide; a group uses the first that spans a few of its rows
+    slacks = (3.0 / SKETCH_ACCURACY, 1e-3, 0.1, 1.0)
+    cuts = [min(1.0, max(0.0, q + side * slack)) for slack in slacks for side in (-1, 1) for _, q, _ in points]
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("__v").alias("low"),
         F.max("__v").alias("high"),
         F.percentile_approx("__v", [float(c) for c in cuts], SKETCH_ACCURACY).alias("__cut"),
     )
+
+    def bracket(point: int, side: int) -> Column:
+        at = [F.col("__cut")[(2 * rung + side) * len(points) + point] for rung in range(len(slacks))]
+        return F.coalesce(*[F.when(F.col("n") * slack >= 3, cut) for slack, cut in zip(slacks, at)], at[-1])
+
     targets = []
     for i, (_, q, mode) in enumerate(points):
         if mode == "ceil":
@@ -118,8 +124,8 @@ def order_statistics(
                 F.lit(i).alias("point"),
                 rank.alias("rank"),
                 part.alias("part"),
-                F.col("__cut")[i].alias("lo"),
-                F.col("__cut")[i + len(points)].alias("hi"),
+                bracket(i, 0).alias("lo"),
+                bracket(i, 1).alias("hi"),
             )
         )
     per_group = sketch.select(*keys, "n", "low", "high", F.array(*targets).alias("__targets"))
