@@ -201,11 +201,13 @@ def acknowledge_alerts(events: DataFrame, requests: DataFrame) -> DataFrame:
 def maintain_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """Rule table after a change log (rule_id, op, metric, operator, threshold, enabled, at_ms).
 
-    A change may set some columns only; unknown metrics or operators are refused; a delete removes
-    the rule. Columns take their last non-null value.
+    A rule exists by the table or by a ``create`` with a known metric and operator. An ``update`` sets some
+    columns of an existing rule; it is refused if it names a metric, which is fixed, or an unknown operator, and
+    not found without a rule. A ``delete`` removes the rule. Columns take their last non-null value.
     """
-    valid = (F.col("metric").isNull() | F.col("metric").isin(*V.ALERT_METRICS)) & (
-        F.col("operator").isNull() | F.col("operator").isin(*V.ALERT_OPERATORS)
+    op, known = F.col("op"), F.col("operator").isin(*V.ALERT_OPERATORS)
+    valid = (op == "delete") | F.when(op == "create", F.col("metric").isin(*V.ALERT_METRICS) & known).otherwise(
+        F.col("metric").isNull() & (F.col("operator").isNull() | known)
     )
     names = ["metric", "operator", "threshold", "enabled"]
     start = rules.select("rule_id", F.lit("create").alias("op"), *names, F.lit(-1).cast("bigint").alias("at_ms"))
@@ -213,9 +215,9 @@ def maintain_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
     folded = log.groupBy("rule_id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at_ms"))).alias(c) for c in names],
         F.max(F.when(F.col("op") == "delete", F.col("at_ms"))).alias("deleted"),
-        F.min("at_ms").alias("created_ms"),
+        F.max(F.col("op") == "create").alias("created"),
     )
-    return folded.filter(F.col("deleted").isNull()).drop("deleted", "created_ms")
+    return folded.filter(F.col("deleted").isNull() & F.col("created")).drop("deleted", "created")
 
 
 def cascade_delete(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -256,6 +258,9 @@ def compare_models(models: DataFrame, versions: list[str]) -> DataFrame:
     if not 2 <= len(unique) <= 10:
         raise ValueError("select between 2 and 10 versions")
     chosen = models.filter(F.col("version").isin(*unique))
+    missing = set(unique) - {r["version"] for r in chosen.select("version").distinct().collect()}  # ten at most
+    if missing:
+        raise ValueError(f"no model has version {', '.join(sorted(missing))}")
     key = F.to_json(F.struct(*[F.coalesce(F.get_json_object("protocol_json", f"$.{f}"), F.lit("")).alias(f) for f in PROTOCOL_FIELDS]))
     keyed = chosen.withColumn("key", key)
     empty = F.count_if((F.col("version") == unique[0]) & (F.col("protocol_json") == "{}"))

@@ -137,9 +137,9 @@ def _(t):
 
 @query(
     "viewable_clicks",
-    f"""SELECT c.event_id, c.item_id, c.position FROM behaviour c WHERE event_type = 'click' AND received_ms {_WIN}
-    AND EXISTS (SELECT 1 FROM behaviour i WHERE i.event_type = 'impression' AND i.user_id = c.user_id AND i.request_id = c.request_id
-        AND i.item_id = c.item_id AND i.position = c.position AND i.received_ms {_WIN})""",
+    f"""SELECT c.event_id, c.item_id, c.position FROM (SELECT * FROM behaviour WHERE event_type = 'click' AND received_ms {_WIN}) c
+    SEMI JOIN (SELECT DISTINCT user_id, request_id, item_id, position FROM behaviour WHERE event_type = 'impression' AND received_ms {_WIN}) i
+    USING (user_id, request_id, item_id, position)""",
 )
 def _(t):
     return D.viewable_clicks(t.behaviour, START, END).select("event_id", "item_id", "position")

@@ -207,12 +207,10 @@ def _(t):
     "alert_rules",
     _RULES + """, ch AS (SELECT o_custkey % (2 * (SELECT count(*) FROM supplier)) AS rule_id, o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 0 AS del,
         CASE WHEN o_orderkey % 3 = 0 THEN 'ctr' WHEN o_orderkey % 3 = 1 THEN 'bogus' END AS metric, round(o_totalprice, 2) AS threshold, epoch_ms(o_orderdate) * 100000 + o_orderkey AS at_ms FROM orders),
-    ok AS (SELECT * FROM ch WHERE metric IS NULL OR metric = 'ctr'),
-    ids AS (SELECT rule_id FROM rl UNION SELECT rule_id FROM ok),
-    lm AS (SELECT rule_id, arg_max(metric, at_ms) AS metric FROM ok WHERE metric IS NOT NULL GROUP BY rule_id),
+    ok AS (SELECT * FROM ch WHERE del OR metric IS NULL),
     lt AS (SELECT rule_id, arg_max(threshold, at_ms) AS threshold, bool_or(del) AS del FROM ok GROUP BY rule_id)
-    SELECT i.rule_id, coalesce(lm.metric, rl.metric) AS metric, rl.operator, round(coalesce(lt.threshold, rl.threshold), 6) AS threshold, CAST(rl.enabled AS INTEGER) AS enabled
-    FROM ids i LEFT JOIN rl USING (rule_id) LEFT JOIN lm USING (rule_id) LEFT JOIN lt USING (rule_id) WHERE NOT coalesce(lt.del, FALSE)""",
+    SELECT rl.rule_id, rl.metric, rl.operator, round(coalesce(lt.threshold, rl.threshold), 6) AS threshold, CAST(rl.enabled AS INTEGER) AS enabled
+    FROM rl LEFT JOIN lt USING (rule_id) WHERE NOT coalesce(lt.del, FALSE)""",
 )
 def _(t):
     size, key = t.raw("supplier").count(), F.col("o_orderkey")
