@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_size
 
@@ -263,7 +264,7 @@ def contaminated(
     null keys stay. No items or no documents give no rows. Only the named columns are read.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    item_kind = items.schema[item_id].dataType.simpleString()
+    item_type, item_kind = to_arrow_type(items.schema[item_id].dataType), items.schema[item_id].dataType.simpleString()
     schema = f"k {kind}, i {item_kind}, score double, q double, a double"
     inner = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     found = []
@@ -275,7 +276,7 @@ def contaminated(
                 hits = shared.value.search(batch.column(1))
                 if hits:
                     keys = batch.column(0).take(pa.array([h[0] for h in hits]))
-                    names = [shared.value.ids[h[1]] for h in hits]
+                    names = pa.array([shared.value.ids[h[1]] for h in hits], item_type)
                     numbers = [pa.array([h[j] for h in hits], pa.float64()) for j in (2, 3, 4)]
                     yield pa.RecordBatch.from_pydict(dict(zip(("k", "i", "score", "q", "a"), (keys, names, *numbers))))
 
