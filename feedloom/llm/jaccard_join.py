@@ -3,8 +3,9 @@
 A document is its set of hashed word shingles. Copies of one set are one class, known by the set's
 signature. The sets' shingles are ordered by how often they occur (a bounded sketch of counts over all documents), ties
 by hash; two sets that reach the threshold share a shingle among the first few, the prefix. Classes meet on
-prefix shingles, pass length and positional filters, then a suffix filter, and are verified once per pair on
-their whole sets.
+prefix shingles, pass length, positional and suffix filters, and are verified once per pair on their whole
+sets. The suffix filter bounds how much two sets differ from below: where they meet by 256 parity bits, each
+telling whether a set holds an odd number of its shingles, before verification by counts in 16 parts.
 
 A large group of near copies is not unfolded into all its pairs: in each prefix bucket all classes meet the
 bucket's leader first, and only classes that the verified links have not yet brought together meet each
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import by_size, components, flagged, materialise, maybe_among
 
 #: Counters of the frequency sketch: its size, and that of what is broadcast, never depends on the data.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 #: Classes of shingles whose counts the suffix filter compares.
 PARTS = 16
+#: Words of 64 parity bits of a set.
+PARITY = 4
+ODD = [f"p{i}" for i in range(PARITY)]
 #: Bytes of text unfolded at once.
 SLICE_BYTES = 4 << 20
 
@@ -110,6 +114,18 @@ def signatures(value: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
+def parities(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per set a row of PARITY words: each bit is set if the set holds an odd number of the bit's shingles.
+
+    Bits in which two sets differ are no more than the shingles that only one of them holds.
+    """
+    bits, rows = 64 * PARITY, len(starts) - 1
+    owner = np.repeat(np.arange(rows), starts[1:] - starts[:-1])
+    place = owner * bits + (mixed(value) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64)
+
+
 def _bucket(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
@@ -143,14 +159,14 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, sig, n, pos): the prefix of every set, rarest shingles first. Sets a task has given out are left out."""
+    """(token, sig, n, pos, parity): the prefix of every set, rarest shingles first. Sets a task has given out are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, given = shared.value, set()
         for batch in by_size(batches, 0, SLICE_BYTES):
             value, starts = shingle_hashes(batch.column(0), n)
-            sigs = signatures(value, starts)
+            sigs, odd = signatures(value, starts), parities(value, starts)
             size = starts[1:] - starts[:-1]
             new = np.zeros(len(sigs), dtype=bool)
             for i, sig in enumerate(sigs):
@@ -169,19 +185,23 @@ def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarr
             value, owner, pos = value[own], owner[own], pos[own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(owner)),
-                 pa.array(size[owner], pa.int32()), pa.array(pos, pa.int32())], names=["token", "sig", "n", "pos"],
+                 pa.array(size[owner], pa.int32()), pa.array(pos, pa.int32()), *[pa.array(odd[owner, i]) for i in range(PARITY)]],
+                names=["token", "sig", "n", "pos", *ODD],
             )
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, sig binary, n int, pos int")
+    words = ", ".join(f"{p} bigint" for p in ODD)
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, f"token bigint, sig binary, n int, pos int, {words}")
 
 
 def _may_link(percent: int, a: str, b: str) -> Column:
-    """Length filter and positional filter of two prefix postings, by the larger of the bounds that follow."""
+    """Length, positional and (by parity) suffix filter of two prefix postings."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     # overlap * (100 + percent) >= percent * (na + nb) is the threshold on intersection over union
     best = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ODD), F.lit(0))
     return (
         (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * best >= percent * (na + nb))
+        & ((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
     )
 
 
@@ -239,14 +259,14 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
     sums = found.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # SKETCH rows at most
     counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     # prefixes meet: one row per (shingle, class), only shingles of several classes
-    bucket = Window.partitionBy("token")
+    bucket, posting = Window.partitionBy("token"), ["pos", "n", "sig", *ODD]
     postings = (
         _prefixes(docs, text, n, percent, counts).repartition("token").dropDuplicates(["token", "sig"])
         .withColumn("many", F.count(F.lit(1)).over(bucket)).filter("many > 1")
-        .withColumn("lead", F.min(F.struct("pos", "n", "sig")).over(bucket)).drop("many")
+        .withColumn("lead", F.min(F.struct(*posting)).over(bucket)).drop("many")
     )
     postings = materialise(postings)
-    member, leader = (F.struct("pos", "n", "sig").alias("x"), F.col("lead").alias("y"))
+    member, leader = (F.struct(*posting).alias("x"), F.col("lead").alias("y"))
     first = (
         postings.select(member, leader).filter((F.col("x.sig") != F.col("y.sig")) & _may_link(percent, "x", "y"))
         .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
@@ -260,7 +280,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
     heads = joined.select(F.col("node").alias("lead_sig"), F.col("root").alias("lead_root"))
     named = (
         named.withColumn("lead_sig", F.col("lead.sig")).join(heads, "lead_sig", "left")
-        .select("token", F.struct("pos", "n", "sig").alias("p"), "c", (F.col("c") == F.coalesce("lead_root", "lead_sig")).alias("led"))
+        .select("token", F.struct(*posting).alias("p"), "c", (F.col("c") == F.coalesce("lead_root", "lead_sig")).alias("led"))
     )
     named = materialise(named)
     rest = named.filter(~F.col("led")).select("token", F.col("p").alias("x"), F.col("c").alias("cx"))
