@@ -411,3 +411,16 @@ def test_bitmap_keeps_wanted_rows(spark):
     wanted = df.limit(500)
     kept = maybe_among(df, "h", wanted)
     assert kept.join(wanted, "h").count() == 500 and kept.count() < 2000
+
+
+def test_parity_bits_never_exceed_what_sets_differ_by():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 300, 3000):
+        whole = rng.integers(0, 1 << 63, 2 * size + 1, dtype=np.uint64)
+        left, right = np.sort(whole[: size + size // 2]), np.sort(whole[size // 2 :])
+        value, starts = np.concatenate([left, right]), np.array([0, len(left), len(left) + len(right)])
+        odd = jaccard_join.parities(value, starts).view(np.uint64)
+        apart = sum(int(x).bit_count() for x in odd[0] ^ odd[1])
+        assert odd.shape == (2, jaccard_join.PARITY) and apart <= len(np.setxor1d(left, right))
+    same = jaccard_join.parities(np.concatenate([left, left]), np.array([0, len(left), 2 * len(left)]))
+    assert (same[0] == same[1]).all()
