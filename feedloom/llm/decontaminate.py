@@ -4,7 +4,7 @@ The index holds the items, cut into blocks of bounded size; each block is broadc
 texts query it. Item scores are divided by the item's threshold (a part of the score it gives to itself), so
 1 is the threshold of every item. A passage goes through two filters: upper bounds over the rare terms of
 each item, in numpy for a whole batch, then block-max WAND over the posting lists. What it retrieves is
-verified on the words: overlap of the question, of the answer, and of their five-word shingles.
+verified on the words: question and answer, each for itself, must occur in order in a narrow span.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .common import by_size
 K1, B = 1.2, 0.75
 #: Part of its own score an item must reach in a passage, and of that, what its common terms may give.
 SCORE_PART, COMMON_PART = 0.5, 0.5
-#: Least overlap of question words, answer words and five-word shingles.
-OVERLAP, SHINGLE = 0.8, 5
+#: Least overlap of question words and of answer words, as sets and in order; span of the latter by their number.
+OVERLAP, SPAN = 0.8, 1.25
 #: UTF-8 bytes of item text in one broadcast block of the index.
 BLOCK_BYTES = 8 << 20
 #: Postings in one block of a posting list.
@@ -186,18 +186,12 @@ class Index:
                 here[i] = items[at[i]] if at[i] < ends[i] else done
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float] | None:
-        """Overlaps of question and answer with the passage, if both, and the shingles, suffice."""
+        """Overlaps of question and answer with the passage, if both suffice, also in order and side by side."""
         q, a = self.questions[item], self.answers[item]
         there = set(words)
         asked = sum(w in there for w in q) / len(q) if q else 1.0
         told = sum(w in there for w in a) / len(a) if a else 1.0
-        if asked < OVERLAP or told < OVERLAP:
-            return None
-        whole = q + a
-        n = min(SHINGLE, len(whole))
-        own = {tuple(whole[i : i + n]) for i in range(len(whole) - n + 1)}
-        seen = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-        return (asked, told) if len(own & seen) >= OVERLAP * len(own) else None
+        return (asked, told) if asked >= OVERLAP and told >= OVERLAP and beside(q, a, words) else None
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap); the best passage of each text and item."""
@@ -213,6 +207,43 @@ class Index:
         return [(*k, v[0] * SCORE_PART, *v[1:]) for k, v in sorted(best.items())]
 
 
+def spans(part: list[str], words: list[str]) -> list[tuple[int, int]]:
+    """(first word, word after the last) where OVERLAP of ``part`` occurs in order within SPAN times its length.
+
+    One span, the shortest, per first word: a longest common subsequence in bits, one word of the text a step.
+    """
+    need, width = math.ceil(OVERLAP * len(part) - 1e-9), math.ceil(SPAN * len(part))
+    bits: dict[str, int] = {}
+    for i, w in enumerate(part):
+        bits[w] = bits.get(w, 0) | 1 << i
+    rows = [bits.get(w, 0) for w in words]
+    known = np.concatenate([[0], np.cumsum([r > 0 for r in rows])])
+    start = np.arange(len(words))
+    enough = known[np.minimum(start + width, len(words))] - known[start] >= need
+    full, out = (1 << len(part)) - 1, []
+    for s in np.flatnonzero(enough).tolist():
+        if not rows[s]:
+            continue
+        state = full  # zero bits: where the subsequence grew
+        for e in range(s, min(s + width, len(words))):
+            if row := rows[e]:
+                hit = state & row
+                state = (state + hit | state - hit) & full
+                if len(part) - state.bit_count() >= need:
+                    out.append((s, e + 1))
+                    break
+    return out
+
+
+def beside(question: list[str], answer: list[str], words: list[str]) -> bool:
+    """Whether both parts occur, the question also without the words that make the answer; an empty part always does."""
+    if not question or not answer:
+        return bool(spans(question or answer, words))
+    asked = spans(question, words)
+    told = spans(answer, words) if asked else []
+    return any(spans(question, words[:s] + words[e:]) for s, e in told)
+
+
 def _tokens(items: DataFrame, item_id: str, question: str, answer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
