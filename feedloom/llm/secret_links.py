@@ -30,12 +30,12 @@ BASE = 3
 ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
 # weak kinds
 IDENT = re.compile(
-    r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""",
+    r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""",
     re.ASCII | re.IGNORECASE,
 )
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
-    r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,256}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]{4,128})""",
+    r"""(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]{4,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Code points between two parts of one credential, at most.
@@ -53,11 +53,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak candidates that overlap no base span."""
+    """Weak candidates that overlap no base span; a URL may have one inside, such as a signature."""
     spans = [(3, m.start(1), m.end(1)) for m in IDENT.finditer(text)]
     spans += [(4, m.start(), m.end()) for m in OPAQUE.finditer(text)]
     spans += [(5, *(m.span(1) if m[1] else m.span())) for m in ENDPOINT.finditer(text)]
-    return [s for s in spans if not any(b[1] < s[2] and s[1] < b[2] for b in base)] if base else spans
+    if not base:
+        return spans
+
+    def own(s: tuple[int, int, int]) -> bool:
+        return not any(b[1] < s[2] and s[1] < b[2] and not (s[0] == 5 and s[1] < b[1] and b[2] <= s[2]) for b in base)
+
+    return [s for s in spans if own(s)]
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
