@@ -18,6 +18,7 @@ from . import (
     sentencepiece_bpe,
     surrogates,
     trie_owners,
+    whitening,
 )
 from .common import documents, ready
 
@@ -135,3 +136,9 @@ SELECT conv_id, perspective, turn, chat_role, CASE WHEN chat_role = 'user' THEN
        CAST(before + CASE WHEN chat_role = 'assistant' THEN len - 1 ELSE len END AS BIGINT) AS train_end
 FROM p
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whitening.whiten(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
