@@ -13,6 +13,7 @@ from . import (
     jaccard_join,
     kd_shards,
     language_codes,
+    near_vectors,
     perspectives,
     secret_links,
     sentencepiece_bpe,
@@ -142,3 +143,27 @@ FROM p
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error."""
     return whitening.whiten(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept: cosine 0.98 or more within a label."""
+    return near_vectors.near_duplicates(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op12_tiled_vectors"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node
+), least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
