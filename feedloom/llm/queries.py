@@ -15,6 +15,7 @@ from . import (
     language_codes,
     near_vectors,
     perspectives,
+    prefix_trie,
     secret_links,
     sentencepiece_bpe,
     surrogates,
@@ -167,3 +168,51 @@ n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
 SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
 FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of rebuilt conversations."""
+    return prefix_trie.prefix_trie(ready(spark).read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
+
+
+# crc32 of the decimal number, bit by bit; sequences are compared as lists of (role, text)
+ORACLES["op13_prefix_trie"] = """
+WITH RECURSIVE own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, 0 AS step, CAST(4294967295 AS BIGINT) AS v FROM own
+  UNION ALL
+  SELECT c, s, step + 1,
+         CASE WHEN step % 9 = 0 THEN xor(v, CAST(ord(s[step // 9 + 1]) AS BIGINT))
+              WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END
+  FROM crc WHERE step < 9 * length(s)
+), h AS (SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 9 AS h, c - c % 5 AS donor FROM crc WHERE step = 9 * length(s)),
+given AS (
+  SELECT h.c, h.h, h.donor, (SELECT count(*) FROM own WHERE own.c = h.donor AND own.pos < h.h) AS there FROM h
+), turns AS (
+  SELECT g.c, o.pos, o.t FROM given g JOIN own o ON o.c = g.donor AND o.pos < g.h
+  UNION ALL
+  SELECT g.c, o.pos - g.h + g.there, o.t FROM given g JOIN own o ON o.c = g.c AND o.pos >= g.h
+), whole AS (
+  SELECT g.c, coalesce(w.seq, []) AS seq FROM given g LEFT JOIN (SELECT c, list(t ORDER BY pos) AS seq FROM turns GROUP BY c) w ON w.c = g.c
+), member AS (
+  SELECT c, d, seq[1:d] AS p, seq[d].text AS last, d = len(seq) AS ends
+  FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)
+), node AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(any_value(last))) END AS own_saved,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM member GROUP BY p, d
+), kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.d = node.d AND kids.p = node.p),
+below AS (
+  SELECT p[1:k] AS p, k AS d, sum(own_saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT p, own_saved, n_children, unnest(range(0, d + 1)) AS k FROM full_node) GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b ON b.d = n.d AND b.p = n.p LEFT JOIN node up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
