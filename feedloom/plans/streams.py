@@ -1,24 +1,59 @@
 """Streams over the event tables, drained and compared with their batch twins."""
 
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from .. import values as V
 from ..operators import behaviour as B
-from ..session import shared_dir
+from ..operators import operations as O
+from ..session import materialise, shared_dir
 from ..streaming import events as S
-from .behaviour import LABEL, STATE, _VISITS
+from .behaviour import _REPEATED, _VISITS, LABEL, STATE, repeated
+from .operations import _RULES, rules
 from .registry import query
 
 NAMES = ["event_id", "event_type", "request_id", "user_id", "item_id", "position", "dwell_ms", "received_ms"]
+#: How far behind the newest row one may come.
+LATE_MS = 30 * V.DAY_MS
+
 
+#: Slices of time in which rows arrive, one after the other; each is a micro-batch of its own.
+SLICES = 4
 
-def event_stream(t):
-    """Behaviour rows written as files in receive order and read back as a stream."""
-    import uuid
 
+def arriving(t, rows, ms="received_ms", slot=None):
+    """(stream, arrivals): rows that come in ``SLICES`` steps by time, or by ``slot(slice)``, as files of one folder."""
     folder = f"{shared_dir(t.spark).rstrip('/')}/feedloom-events-{uuid.uuid4().hex}"
-    rows = t.behaviour.select(*NAMES)
-    rows.write.parquet(folder)
-    return S.read_stream(t.spark, rows.schema, folder)
+    rows = materialise(rows)
+    ends = rows.agg(F.min(ms), F.max(ms)).first()
+    lo, hi = ends[0] or 0, ends[1] or 0
+    part = F.least(F.lit(SLICES - 1), F.floor((F.col(ms) - lo) * SLICES / (hi - lo + 1)))
+    part = slot(part) if slot else part
+    rows.limit(0).write.parquet(folder)
+    return S.read_stream(t.spark, rows.schema, folder), [
+        partial(lambda i: rows.filter(part == i).write.mode("append").parquet(folder), i) for i in range(SLICES)
+    ]
+
+
+def behaviour_stream(t):
+    return arriving(t, t.behaviour.select(*NAMES))
+
+
+def repeated_stream(t):
+    """With repeated deliveries, longer dwells, likes that come again and ids used for two events."""
+    return arriving(t, repeated(t))
+
+
+def delayed(part):
+    """Shares come one slice late."""
+    return F.when(F.col("event_type") == "share", F.least(F.lit(SLICES - 1), part + 1)).otherwise(part)
+
+
+_SLICED = f"""bo AS (SELECT min(received_ms) AS lo, max(received_ms) AS hi FROM rep),
+    sp AS (SELECT rep.*, least({SLICES - 1}, (received_ms - lo) * {SLICES} // (hi - lo + 1)) AS part FROM rep, bo),
+    sl AS (SELECT * REPLACE (CASE WHEN event_type = 'share' THEN least({SLICES - 1}, part + 1) ELSE part END AS part) FROM sp)"""
 
 
 @query(
@@ -40,10 +75,38 @@ def _(t):
     return done.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_dedup", "SELECT event_type, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS items FROM behaviour GROUP BY event_type")
+@query(
+    "stream_dedup",
+    _REPEATED + """ SELECT request_id, user_id, item_id, position, event_type, arg_min(event_id, (received_ms, event_id)) AS event_id,
+        max(dwell_ms) AS dwell_ms, min(received_ms) AS received_ms, max(received_ms) AS last_ms, count(*) - 1 AS repeats
+    FROM rep GROUP BY request_id, user_id, item_id, position, event_type""",
+)
+def _(t):
+    stream, arrivals = repeated_stream(t)
+    updates = S.drain(S.stream_dedup(stream), "update", arrivals=arrivals)
+    return S.latest_update(updates, [*B.EVENT_KEY, "event_type"]).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query(
+    "stream_conflicts",
+    _REPEATED + """ SELECT event_id, count(*) AS deliveries FROM rep GROUP BY event_id
+    HAVING count(DISTINCT (event_type, request_id, user_id, item_id, position, dwell_ms)) > 1""",
+)
+def _(t):
+    stream, arrivals = repeated_stream(t)
+    return S.latest_update(S.drain(S.stream_conflicts(stream), "update", arrivals=arrivals), ["event_id"])
+
+
+@query(
+    "stream_late",
+    _REPEATED + ", " + _SLICED + f""", mk AS (SELECT p.part, (SELECT max(received_ms) FROM sl WHERE sl.part < p.part) AS newest FROM (SELECT DISTINCT part FROM sl) p)
+    SELECT event_type, count(*) AS n, min(received_ms) AS first_ms, max(received_ms) AS last_ms FROM sl JOIN mk USING (part)
+    WHERE received_ms < newest - {LATE_MS} GROUP BY event_type""",
+)
 def _(t):
-    done = S.drain(S.stream_dedup(event_stream(t)))
-    return done.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("items"))
+    stream, arrivals = arriving(t, repeated(t), slot=delayed)
+    late = S.drain_late(stream, LATE_MS, arrivals=arrivals)
+    return late.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("received_ms").alias("first_ms"), F.max("received_ms").alias("last_ms"))
 
 
 @query(
@@ -53,39 +116,87 @@ def _(t):
 )
 def _(t):
     kept = t.exposures.filter(F.col("source") != "explore")
-    return S.drain(S.stream_validate(event_stream(t), kept)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    stream, arrivals = behaviour_stream(t)
+    return S.drain(S.stream_validate(stream, kept), arrivals=arrivals).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_state", STATE + " SELECT * FROM state")
+@query("stream_state", _REPEATED + ", " + STATE.replace("FROM behaviour", "FROM rep") + " SELECT * FROM state")
 def _(t):
-    updates = S.drain(S.stream_state(event_stream(t)), "update")
+    stream, arrivals = repeated_stream(t)
+    updates = S.drain(S.stream_state(stream), "update", arrivals=arrivals)
     return B.finish_state(S.latest_update(updates, ["user_id", "item_id"]))
 
 
 @query(
     "stream_revisits",
-    _VISITS + " SELECT user_id, item_id, count(*) AS n, CAST(sum(visit_index) AS BIGINT) AS total FROM vis WHERE visit_index > 1 GROUP BY user_id, item_id",
+    _VISITS + """ SELECT 'revisit:' || request_id || ':' || item_id || ':' || position AS event_id, user_id, item_id, request_id,
+        CAST(position AS BIGINT) AS position, received_ms, visit_index FROM vis WHERE visit_index > 1""",
 )
 def _(t):
-    done = S.drain(S.stream_revisits(event_stream(t)))
-    return done.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("visit_index").alias("total"))
+    # every impression is delivered again a minute later
+    once = t.behaviour.select(*NAMES)
+    again = once.withColumn("received_ms", F.col("received_ms") + V.MINUTE_MS).withColumn("event_id", F.concat("event_id", F.lit(":again")))
+    stream, arrivals = arriving(t, once.unionByName(again))
+    return S.latest_update(S.drain(S.stream_revisits(stream), "update", arrivals=arrivals), ["event_id"])
 
 
 @query("stream_timeseries", "SELECT received_ms // 3600000 * 3600000 AS bucket_ms, event_type, count(*) AS value FROM behaviour GROUP BY 1, 2")
 def _(t):
-    updates = S.drain(S.stream_timeseries(event_stream(t)), "update")
+    stream, arrivals = behaviour_stream(t)
+    updates = S.drain(S.stream_timeseries(stream), "update", arrivals=arrivals)
     return S.latest_update(updates, ["bucket_ms", "event_type"])
 
 
+_FACTS = """fa AS (SELECT 'request' AS kind, user_id, CAST(latency_ms AS DOUBLE) AS latency_ms, created_ms AS ms FROM requests
+    UNION ALL SELECT 'exposure', user_id, NULL, created_ms FROM exposures UNION ALL SELECT event_type, user_id, NULL, received_ms FROM behaviour)"""
+_NINE = """count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'exposure') AS exposures, count(*) FILTER (kind = 'impression') AS impressions,
+    count(*) FILTER (kind = 'click') AS clicks, count(*) FILTER (kind = 'like') AS likes,
+    CASE WHEN count(*) FILTER (kind = 'exposure') = 0 THEN 0 ELSE round(count(*) FILTER (kind = 'click') / CAST(count(*) FILTER (kind = 'exposure') AS DOUBLE), 8) END AS ctr,
+    count(DISTINCT user_id) FILTER (kind NOT IN ('exposure', 'impression')) AS active_users, round(coalesce(quantile_cont(latency_ms, 0.95), 0), 8) AS latency_p95,
+    (SELECT count(*) FROM items WHERE status = 'offline') AS offline_items"""
+
+
+def facts(t):
+    return S.alert_facts(t.requests, t.exposures, t.behaviour)
+
+
 @query(
     "stream_alerts",
-    """ev AS (SELECT epoch_us(ts) // 1000 AS ms, event_type FROM events)
-    SELECT s0 AS now_ms, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'click') AS clicks, 0 AS likes
-    FROM (SELECT (ms // 900000 + 1 + k) * 900000 AS s0, event_type FROM ev CROSS JOIN (VALUES (0), (1), (2), (3)) v(k)) GROUP BY s0""",
+    _FACTS + f""" SELECT now_ms, {_NINE} FROM (SELECT (ms // 900000 + 1 + k) * 900000 AS now_ms, fa.* FROM fa CROSS JOIN (VALUES (0), (1), (2), (3)) v(k)) GROUP BY now_ms""",
 )
 def _(t):
-    raw = S.read_stream(t.spark, t.raw("events").schema, t.folder, "events.parquet")
-    kind = F.when(F.col("event_type") == "view", "impression").otherwise(F.col("event_type"))
-    timed = raw.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("received_ms"), kind.alias("event_type"))
-    updates = S.drain(S.stream_alert_counts(timed, "60 minutes", "15 minutes"), "update")
-    return S.latest_update(updates, ["now_ms"])
+    stream, arrivals = arriving(t, facts(t))
+    updates = S.drain(S.stream_alert_metrics(stream, t.items, "60 minutes", "15 minutes"), "update", arrivals=arrivals)
+    return S.latest_update(updates, ["now_ms"]).withColumns({c: F.round(c, 8) for c in ("ctr", "latency_p95")})
+
+
+#: Minutes the rules look back over.
+SPAN = 200 * 24 * 60
+_VALUES = " UNION ALL ".join(f"SELECT part, now, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM nine" for m in V.ALERT_METRICS)
+
+
+@query(
+    "stream_alert_events",
+    _FACTS + ", " + _RULES + f""", bo AS (SELECT min(ms) AS lo, max(ms) AS hi FROM fa),
+    mk AS (SELECT least({SLICES - 1}, (ms - lo) * {SLICES} // (hi - lo + 1)) AS part, max(ms) + 1 AS now FROM fa, bo GROUP BY 1),
+    nine AS (SELECT part, now, {_NINE} FROM mk JOIN fa ON ms < now AND ms >= now - {SPAN * V.MINUTE_MS} GROUP BY part, now),
+    met AS ({_VALUES}),
+    fi AS (SELECT rule_id, part, now, value, CASE operator WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold ELSE value <= threshold END AS firing
+        FROM rl JOIN met USING (metric) WHERE enabled),
+    st AS (SELECT *, firing AND NOT coalesce(lag(firing) OVER (PARTITION BY rule_id ORDER BY part), FALSE) AS opens FROM fi),
+    ru AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY rule_id ORDER BY part) AS run FROM st),
+    be AS (SELECT rule_id, run, min(now) FILTER (opens) AS opened, min(now) FILTER (NOT firing) AS closed, max(now) AS last FROM ru WHERE run > 0 GROUP BY rule_id, run)
+    SELECT 'alert:' || be.rule_id || ':' || opened AS event_id, be.rule_id, CASE WHEN closed IS NULL THEN 'open' ELSE 'resolved' END AS status, round(ru.value, 8) AS observed,
+        opened AS triggered_ms, closed AS resolved_ms, coalesce(closed, last) AS evaluated_ms
+    FROM be JOIN ru ON ru.rule_id = be.rule_id AND ru.now = coalesce(closed, last)""",
+)
+def _(t):
+    stream, arrivals = arriving(t, facts(t))
+
+    def evaluate(rows, now):
+        asked = rows.withColumn("created_ms", F.col("received_ms"))
+        events = rows.withColumn("event_type", F.col("kind")).filter(~F.col("kind").isin("request", "exposure"))
+        return O.alert_metrics(asked.filter("kind = 'request'"), asked.filter("kind = 'exposure'"), events, t.items, now, SPAN)
+
+    none = t.spark.createDataFrame([], "event_id string, rule_id bigint, status string, observed double, triggered_ms bigint, resolved_ms bigint, evaluated_ms bigint")
+    return S.drain_alerts(stream, rules(t), evaluate, none, arrivals=arrivals).withColumn("observed", F.round("observed", 8))

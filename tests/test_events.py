@@ -70,27 +70,74 @@ def test_validation_reasons(spark):
     assert got["d"][1] == "dwell_unexpected" and got["e"][1] == "event_type" and got["f"][1] == "position" and got[""][1] == "event_id"
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    folder = str(tmp_path / "events")
-    events = _events(spark, ROWS)
-    for part in (events.filter(F.col("received_ms") < 3500), events.filter(F.col("received_ms") >= 3500)):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = lambda: S.read_stream(spark, events.schema, folder).withColumn("received_ms", F.col("received_ms"))
-    visits = S.drain(S.stream_revisits(stream()))
-    assert [(r["event_id"], r["visit_index"]) for r in visits.collect()] == [("revisit:2:5:1", 2)]
-    single = events.filter(F.col("event_id") != "d1")
-    single.coalesce(1).write.parquet(folder + "-once")
-    updates = S.drain(S.stream_state(S.read_stream(spark, events.schema, folder + "-once")), "update")
-    state = B.finish_state(S.latest_update(updates, ["user_id", "item_id"]))
-    order = sorted(state.columns)
-    want = B.user_item_state(single).select(order).orderBy("user_id", "item_id").collect()
-    assert state.select(order).orderBy("user_id", "item_id").collect() == want
-
-
-def test_conflicts_against_the_sink(spark):
-    stored = _events(spark, ROWS)
-    batch = _events(spark, [("c1", "like", 1, 1, 5, 0, None, 9), ("c9", "click", 1, 1, 5, 0, None, 9)])
-    assert [r["event_id"] for r in S.conflicting_ids(batch, stored).collect()] == ["c1"]
+def _arrivals(spark, folder, slices, schema=SCHEMA):
+    """(stream, arrivals): each slice of rows comes in as files of its own."""
+    spark.createDataFrame([], schema).write.parquet(folder)
+    frames = [spark.createDataFrame(rows, schema) for rows in slices]
+    return S.read_stream(spark, frames[0].schema, folder), [lambda df=df: df.write.mode("append").parquet(folder) for df in frames]
+
+
+# repeats, a longer dwell, a request shown twice, an id used for two events, a row that comes late
+DELIVERED = [
+    ROWS[:3],
+    [("c1", "click", 1, 1, 5, 0, None, 2000), ROWS[3], ("i1b", "impression", 1, 1, 5, 0, None, 3500)],
+    [*ROWS[4:], ("l1", "share", 1, 2, 5, 0, None, 90_000_500)],
+    [("d3", "dwell", 1, 1, 5, 0, 2000, 90_100_000), ("i2b", "impression", 2, 1, 5, 1, None, 90_100_001), ("x1", "click", 3, 3, 5, 0, None, 4000)],
+]
+
+
+def test_streams_equal_batch_over_repeats(spark, tmp_path):
+    everything = _events(spark, [r for part in DELIVERED for r in part])
+
+    def drained(name, build, keys):
+        stream, arrivals = _arrivals(spark, str(tmp_path / name), DELIVERED)
+        return S.latest_update(S.drain(build(stream), "update", arrivals=arrivals), keys)
+
+    def same(got, want):
+        columns = sorted(want.columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+    same(drained("dedup", S.stream_dedup, [*B.EVENT_KEY, "event_type"]), B.deduplicate(everything))
+    state = drained("state", S.stream_state, ["user_id", "item_id"])
+    same(B.finish_state(state), B.user_item_state(everything))
+    visits = drained("visits", S.stream_revisits, ["event_id"])
+    assert [(r["event_id"], r["visit_index"], r["received_ms"]) for r in visits.collect()] == [("revisit:2:5:1", 2, 90_000_000)]
+    conflicts = drained("conflicts", S.stream_conflicts, ["event_id"])
+    assert [(r["event_id"], r["deliveries"]) for r in conflicts.collect()] == [("l1", 2)]
+
+
+def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
+    stream, arrivals = _arrivals(spark, str(tmp_path / "late"), DELIVERED)
+    late = S.drain_late(stream, 1000, arrivals=arrivals)
+    assert sorted(r["event_id"] for r in late.collect()) == ["x1"]
+
+
+def test_alerts_open_refresh_and_resolve_on_the_stream(spark, tmp_path):
+    schema = "kind string, user_id long, latency_ms double, received_ms long"
+    clicks = [[("click", 1, None, 60_000 * i + k) for k in range(n)] for i, n in enumerate((1, 3, 4, 0, 5))]
+    clicks[3] = [("request", 1, 5.0, 185_000)]
+    stream, arrivals = _arrivals(spark, str(tmp_path / "facts"), clicks, schema)
+    rules = spark.createDataFrame(
+        [("r1", "clicks", ">=", 3.0, True), ("r2", "requests", ">", 0.0, True), ("r3", "clicks", ">=", 0.0, False)],
+        "rule_id string, metric string, operator string, threshold double, enabled boolean",
+    )
+    items = spark.createDataFrame([(1, "online")], "item_id long, status string")
+
+    def evaluate(rows, now):
+        asked = rows.withColumn("created_ms", F.col("received_ms"))
+        events = rows.withColumn("event_type", F.col("kind")).filter("kind = 'click'")
+        return O.alert_metrics(asked.filter("kind = 'request'"), asked.filter("kind = 'exposure'"), events, items, now, 1)
+
+    none = spark.createDataFrame(
+        [("old", "gone", "open", 1.0, 5, None, 5)],
+        "event_id string, rule_id string, status string, observed double, triggered_ms bigint, resolved_ms bigint, evaluated_ms bigint",
+    )
+    got = {r["event_id"]: r for r in S.drain_alerts(stream, rules, evaluate, none, arrivals=arrivals).collect()}
+    assert "old" not in got  # its rule is gone
+    first, second = got["alert:r1:60003"], got["alert:r1:240005"]
+    assert (first["status"], first["resolved_ms"], first["observed"]) == ("resolved", 185_001, 0.0)
+    assert (second["status"], second["observed"]) == ("open", 5.0)
+    assert {r["rule_id"]: r["status"] for r in got.values() if r["rule_id"] != "r1"} == {"r2": "open"} and len(got) == 3
 
 
 def test_readers_report_bad_rows(spark, tmp_path):
