@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 #: Symbols of a chunk from which the heap is used in place of the agendas in step.
 HEAP_FROM = 48
-#: Encoded chunks a task keeps; then it starts afresh.
-KEPT_CHUNKS = 800_000
+#: Bytes of encoded chunks a task keeps, then it starts afresh; what one costs beside its letters and ids.
+KEPT_BYTES, CHUNK_COST = 64 << 20, 240
 #: Characters of text worked on at once.
-PIECE_CHARS = 4 << 20
+PIECE_CHARS = 1 << 20
 
 
 class MergeEncoder:
@@ -73,6 +73,11 @@ class MergeEncoder:
         self.rank[:n] = np.unique(self.score[:n], return_inverse=True)[1]
         self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
+
+    def forget(self) -> None:
+        self.kept.clear()
+        self.kept_bytes = 0
 
     def symbol(self, code: int) -> int:
         i = self.symbols.get(code)
@@ -221,9 +226,11 @@ class MergeEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         cut = [self.chunks(t) for t in texts]
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        self.learn(list(set().union(*cut).difference(self.kept)))
+        if self.kept_bytes > KEPT_BYTES:
+            self.forget()
+        fresh = list(set().union(*cut).difference(self.kept))
+        self.learn(fresh)
+        self.kept_bytes += sum(CHUNK_COST + 4 * len(c) + len(self.kept[c]) for c in fresh)
         first, last = np.array([self.bos], dtype="<u4").tobytes(), np.array([self.eos], dtype="<u4").tobytes()
         kept = self.kept.__getitem__
         return [first + b"".join(map(kept, chunks)) + last for chunks in cut]
@@ -247,25 +254,28 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(model, check)
-        for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop]) <= PIECE_CHARS):
-                    size += len(texts[stop])
-                    stop += 1
-                packed = tool.encode(texts[start:stop])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.slice(start, stop - start),
-                        pa.array([len(p) // 4 for p in packed], pa.int64()),
-                        pa.array(packed, pa.binary()),
-                        pa.array(tool.decode(packed), pa.string()),
-                    ],
-                    names=["k", "n_tokens", "ids", "decoded"],
-                )
-                start = stop
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+                start = 0
+                while start < len(texts):
+                    stop, size = start, 0
+                    while stop < len(texts) and (stop == start or size + len(texts[stop]) <= PIECE_CHARS):
+                        size += len(texts[stop])
+                        stop += 1
+                    packed = tool.encode(texts[start:stop])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            keys.slice(start, stop - start),
+                            pa.array([len(p) // 4 for p in packed], pa.int64()),
+                            pa.array(packed, pa.binary()),
+                            pa.array(tool.decode(packed), pa.string()),
+                        ],
+                        names=["k", "n_tokens", "ids", "decoded"],
+                    )
+                    start = stop
+        finally:
+            tool.forget()  # workers live on between tasks
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(
