@@ -44,14 +44,14 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
             yield batch.slice(start)
 
 
-def flagged(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+def flagged(df: DataFrame, key: str, wanted: DataFrame, flag: str, size: int = BITMAP_BITS) -> DataFrame:
     """Rows of ``df`` with a flag: whether the 64-bit hash ``key`` may occur in ``wanted`` (same column).
 
-    The wanted hashes set bits of one bitmap of fixed size (``BITMAP_BITS``), which is broadcast. Some
+    The wanted hashes set bits of one bitmap of a fixed ``size`` in bits, which is broadcast. Some
     unwanted rows are flagged, wanted ones always; an exact join of the flagged rows follows. It keeps the
     texts of the other rows out of that join's shuffle.
     """
-    word = (F.expr(f"pmod({key}, {BITMAP_BITS})") / 64).cast("int").alias("__word")
+    word = (F.expr(f"pmod({key}, {size})") / 64).cast("int").alias("__word")
     bit = f"shiftleft(1L, cast(pmod({key}, 64) AS int))"
     bits = wanted.select(word, F.expr(bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     return (
@@ -60,9 +60,9 @@ def flagged(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def maybe_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def maybe_among(df: DataFrame, key: str, wanted: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
     """Rows of ``df`` whose hash may occur in ``wanted``; see ``flagged``."""
-    return flagged(df, key, wanted, "__among").filter("__among").drop("__among")
+    return flagged(df, key, wanted, "__among", size).filter("__among").drop("__among")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import by_size, components, flagged, materialise, maybe_among
 
-#: Counters of the frequency sketch: its size, and that of what is broadcast, never depends on the data.
-SKETCH = 1 << 20
+#: Counters of the frequency sketch, added up in parts: its size, and that of what is broadcast, never depends on the data.
+SKETCH, SLICES = 1 << 22, 64
+#: Bits of the broadcast bitmap of shingles that several classes share.
+SHARED_BITS = 1 << 24
 #: Classes of shingles whose counts the suffix filter compares.
 PARTS = 16
 #: Words of 64 parity bits of a set.
 PARITY = 4
 ODD = [f"p{i}" for i in range(PARITY)]
-#: Bytes of text unfolded at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text unfolded at once; a longer text is unfolded alone.
+SLICE_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -46,7 +48,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base, inverse = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
@@ -55,13 +56,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=1)
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers for ordinary slices, kept; those for longer texts are not."""
+    return _powers(SLICE_BYTES)
+
+
 def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, one after the other, and where each text's begin.
 
     Words are runs of bytes that are no ASCII white space, A-Z in lower case. A text of fewer than ``n`` words
     is one shingle; a text without words, and a null, has none.
     """
-    texts = texts.fill_null("")
+    texts = texts.fill_null("").cast(pa.string())  # 32-bit offsets
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1, offset=texts.offset * 4).astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -78,7 +85,7 @@ def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     borders = offsets[1:][offsets[1:] > 0] - 1
     ends[borders] = inside[borders]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _powers(max(1 << 22, 1 << int(len(raw) - 1).bit_length()))
+    up, down = _slice_powers() if len(raw) <= SLICE_BYTES else _powers(len(raw))
     total = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * up[: len(raw)])])
     words = (total[last + 1] - total[first]) * down[first]
     words = mixed(words + (last - first).astype(np.uint64) * _MULT)
@@ -131,48 +138,75 @@ def _bucket(value: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows of two kinds: documents (k, sig, n), and each task's counts (bucket, count) for the sketch."""
+    """Rows of two kinds: documents (k, sig, n, parity), and each task's counts (slice, counts) for the sketch."""
+    odd = ", ".join(f"{p} bigint" for p in ODD)
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["k", "sig", "n", *ODD, "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, kind = np.zeros(SKETCH, dtype=np.int64), None
+        counts, own = np.zeros(SKETCH, dtype=np.uint32), None
         for batch in by_size(batches, 1, SLICE_BYTES):
-            kind = batch.schema[0].type
+            own = batch.schema[0].type
             value, starts = shingle_hashes(batch.column(1), n)
-            counts += np.bincount(_bucket(value), minlength=SKETCH)
-            rows = batch.num_rows
+            np.add.at(counts, _bucket(value), np.uint32(1))
+            words, rows = parities(value, starts), batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(signatures(value, starts), pa.binary()), pa.array(starts[1:] - starts[:-1], pa.int64()),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=["k", "sig", "n", "bucket", "count"],
-            )
-        there = np.flatnonzero(counts)
-        if len(there):
-            rows = len(there)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(rows, kind), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()),
-                 pa.array(there, pa.int32()), pa.array(counts[there], pa.int64())], names=["k", "sig", "n", "bucket", "count"],
+                 *[pa.array(words[:, i]) for i in range(PARITY)], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names,
             )
+        for i, part in enumerate(counts.reshape(SLICES, -1)):
+            if own is not None and part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, own), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * (1 + PARITY), pa.array([i], pa.int32()),
+                     pa.array([part.tobytes()], pa.binary())], names=names,
+                )
 
-    kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(
-        run, f"k {kind}, sig binary, n bigint, bucket int, count bigint"
+        run, f"k {kind}, sig binary, n bigint, {odd}, slice int, counts binary"
     )
 
 
+def _sketch(found: DataFrame) -> np.ndarray:
+    """Counts of all tasks added up, first in groups of tasks, then per slice; the driver gets the sketch alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total = totals.setdefault(i, np.zeros(SKETCH // SLICES, dtype=np.uint64))
+                total += np.frombuffer(part.as_buffer(), dtype=np.uint32)
+        for i, total in totals.items():
+            full = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([full.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    parts = found.filter(F.col("slice").isNotNull()).select("slice", "counts")
+    group = F.pmod(F.xxhash64("counts"), F.lit(16))
+    parts = parts.repartition("slice", group).mapInArrow(run, "slice int, counts binary")
+    counts = np.zeros((SLICES, SKETCH // SLICES), dtype=np.uint32)
+    for row in parts.repartition("slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
+        counts[row["slice"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+    return counts.ravel()
+
+
 def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, sig, n, pos, parity): the prefix of every set, rarest shingles first. Sets a task has given out are left out."""
+    """(token, class, n, pos): the prefix of every set, rarest shingles first. Sets a task has given out are left out.
+
+    A class is the first half of a signature: enough to meet by, the whole one decides.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, given = shared.value, set()
         for batch in by_size(batches, 0, SLICE_BYTES):
             value, starts = shingle_hashes(batch.column(0), n)
-            sigs, odd = signatures(value, starts), parities(value, starts)
+            sigs = signatures(value, starts)
             size = starts[1:] - starts[:-1]
             new = np.zeros(len(sigs), dtype=bool)
             for i, sig in enumerate(sigs):
                 if size[i] and sig not in given:
                     given.add(sig)
                     new[i] = True
+            classes = np.frombuffer(b"".join(sigs), dtype=">i8")[::2].astype(np.int64)
             owner = np.repeat(np.arange(len(sigs)), size)
             keep = new[owner]
             value, owner = value[keep], owner[keep]
@@ -184,25 +218,30 @@ def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarr
             own = pos < length[owner]
             value, owner, pos = value[own], owner[own], pos[own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(owner)),
-                 pa.array(size[owner], pa.int32()), pa.array(pos, pa.int32()), *[pa.array(odd[owner, i]) for i in range(PARITY)]],
-                names=["token", "sig", "n", "pos", *ODD],
+                [pa.array(value.view(np.int64)), pa.array(classes[owner]), pa.array(size[owner], pa.int32()), pa.array(pos, pa.int32())],
+                names=["token", "class", "n", "pos"],
             )
 
-    words = ", ".join(f"{p} bigint" for p in ODD)
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, f"token bigint, sig binary, n int, pos int, {words}")
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, class bigint, n int, pos int")
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """Length, positional and (by parity) suffix filter of two prefix postings."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _in_reach(percent: int, na: Column, nb: Column, best: Column) -> Column:
+    """Length and positional filter: ``best`` is the most two sets of these sizes can still share."""
     # overlap * (100 + percent) >= percent * (na + nb) is the threshold on intersection over union
-    best = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ODD), F.lit(0))
-    return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * best >= percent * (na + nb))
-        & ((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * best >= percent * (na + nb))
+
+
+def _may_link(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): signatures of the met classes (x, y, xpos, ypos) that length, positional and (by parity) suffix filter leave."""
+    fields = ["sig", "n", *ODD]
+    one, two = (facts.select(F.col("class").alias(c), F.struct(*fields).alias(f"f{c}")) for c in "xy")
+    na, nb = F.col("fx.n"), F.col("fy.n")
+    apart = sum((F.bit_count(F.col(f"fx.{p}").bitwiseXOR(F.col(f"fy.{p}"))) for p in ODD), F.lit(0))
+    best = F.least(na - F.col("xpos"), nb - F.col("ypos"))
+    left = met.join(one, "x").join(two, "y").filter(
+        (F.col("fx.sig") != F.col("fy.sig")) & _in_reach(percent, na, nb, best) & ((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
     )
+    return left.select(F.least("fx.sig", "fy.sig").alias("a"), F.greatest("fx.sig", "fy.sig").alias("b")).distinct()
 
 
 def _class_sets(docs: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -254,44 +293,41 @@ def _verified(docs: DataFrame, key: str, text: str, n: int, pairs: DataFrame, st
 def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Documents (k, sig, n) and class components (node, root) under links of at least ``percent`` per cent."""
     found = materialise(_sets(docs, key, text, n))
-    rows = found.filter(F.col("sig").isNotNull()).select("k", "sig", "n")
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    sums = found.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # SKETCH rows at most
-    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    # prefixes meet: one row per (shingle, class), only shingles of several classes
-    bucket, posting = Window.partitionBy("token"), ["pos", "n", "sig", *ODD]
-    postings = (
-        _prefixes(docs, text, n, percent, counts).repartition("token").dropDuplicates(["token", "sig"])
-        .withColumn("many", F.count(F.lit(1)).over(bucket)).filter("many > 1")
-        .withColumn("lead", F.min(F.struct(*posting)).over(bucket)).drop("many")
+    rows = found.filter(F.col("sig").isNotNull())
+    standing = materialise(
+        rows.filter("n > 0").groupBy("sig").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in ODD])
     )
-    postings = materialise(postings)
-    member, leader = (F.struct(*posting).alias("x"), F.col("lead").alias("y"))
-    first = (
-        postings.select(member, leader).filter((F.col("x.sig") != F.col("y.sig")) & _may_link(percent, "x", "y"))
-        .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    half = F.conv(F.substring(F.hex("sig"), 1, 16), 16, -10).cast("bigint").alias("class")
+    facts = standing.select(half, "sig", "n", *ODD)
+    rows = rows.select("k", "sig", "n")
+    # postings carry what they meet by; the least class of a shingle that several share leads its bucket
+    postings = materialise(_prefixes(docs, text, n, percent, _sketch(found)))
+    leads = materialise(
+        postings.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("top")).filter("lead <> top").select("token", "lead")
     )
-    first = materialise(first)
-    standing = rows.filter("n > 0").groupBy("sig").agg(F.min("k").alias("k"))
-    linked = materialise(_verified(docs, key, text, n, first, standing, percent))
-    joined = components(linked)
+    meeting = materialise(maybe_among(postings, "token", leads.select("token"), SHARED_BITS).distinct().join(leads, "token"))
+    zero = F.lit(0)
+    led = meeting.filter(F.col("class") != F.col("lead")).groupBy(F.col("class").alias("x"), F.col("lead").alias("y")).agg(F.min("pos").alias("xpos"))
+    first = materialise(_may_link(led.withColumn("ypos", zero), facts, percent))
+    linked = materialise(_verified(docs, key, text, n, first, standing.select("sig", "k"), percent))
+    joined = materialise(components(linked))
     # classes the leader did not bring together meet the others of their bucket
-    named = postings.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("root", "sig"))
-    heads = joined.select(F.col("node").alias("lead_sig"), F.col("root").alias("lead_root"))
-    named = (
-        named.withColumn("lead_sig", F.col("lead.sig")).join(heads, "lead_sig", "left")
-        .select("token", F.struct(*posting).alias("p"), "c", (F.col("c") == F.coalesce("lead_root", "lead_sig")).alias("led"))
-    )
-    named = materialise(named)
-    rest = named.filter(~F.col("led")).select("token", F.col("p").alias("x"), F.col("c").alias("cx"))
-    others = named.select("token", F.col("p").alias("y"), F.col("c").alias("cy"), "led")
-    again = (
+    label = joined.join(facts, joined["node"] == facts["sig"]).select("class", "root")
+    alone = F.hex("class").cast("binary")
+    named = meeting.join(label, "class", "left").withColumn("c", F.coalesce("root", alone)).drop("root")
+    heads = label.select(F.col("class").alias("lead"), F.col("root").alias("lead_root"))
+    lead_c = F.coalesce("lead_root", F.hex("lead").cast("binary"))
+    named = materialise(named.join(heads, "lead", "left").select("token", "class", "n", "pos", "c", (F.col("c") == lead_c).alias("led")))
+    rest = named.filter(~F.col("led")).select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    others = named.select("token", F.col("class").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"), "led")
+    best = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    met = (
         rest.join(others, "token")
-        .filter((F.col("cx") != F.col("cy")) & (F.col("led") | (F.col("x.sig") < F.col("y.sig"))) & _may_link(percent, "x", "y"))
-        .select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .filter((F.col("cx") != F.col("cy")) & (F.col("led") | (F.col("x") < F.col("y"))) & _in_reach(percent, F.col("nx"), F.col("ny"), best))
+        .groupBy("x", "y").agg(F.min("px").alias("xpos"), F.min("py").alias("ypos"))
     )
-    more = materialise(_verified(docs, key, text, n, materialise(again), standing, percent))
+    again = materialise(_may_link(met, facts, percent).join(first, ["a", "b"], "left_anti"))
+    more = materialise(_verified(docs, key, text, n, again, standing.select("sig", "k"), percent))
     return rows, components(linked.unionByName(more))
 
 
