@@ -199,17 +199,20 @@ def acknowledge_alerts(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def maintain_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rule table after a change log (rule_id, op, metric, operator, threshold, enabled, at_ms).
+    """Rule table after a change log (rule_id, op, name, metric, operator, threshold, severity, enabled, at_ms).
 
-    A rule exists by the table or by a ``create`` with a known metric and operator. An ``update`` sets some
-    columns of an existing rule; it is refused if it names a metric, which is fixed, or an unknown operator, and
-    not found without a rule. A ``delete`` removes the rule. Columns take their last non-null value.
+    A rule exists by the table or by a ``create`` with a name, a known metric and a known operator; its severity is
+    warn and it is enabled unless told otherwise. An ``update`` sets some columns of an existing rule; it is refused
+    if it names a metric, which is fixed, or an unknown operator or severity, or sets nothing, and not found without a
+    rule. A ``delete`` removes the rule. Columns take their last non-null value.
     """
     op, known = F.col("op"), F.col("operator").isin(*V.ALERT_OPERATORS)
-    valid = (op == "delete") | F.when(op == "create", F.col("metric").isin(*V.ALERT_METRICS) & known).otherwise(
-        F.col("metric").isNull() & (F.col("operator").isNull() | known)
+    names = ["name", "metric", "operator", "threshold", "severity", "enabled"]
+    graded = F.col("severity").isNull() | F.col("severity").isin(*V.ALERT_SEVERITIES)
+    said = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in names], F.lit(False))
+    valid = (op == "delete") | graded & F.when(op == "create", F.col("metric").isin(*V.ALERT_METRICS) & known & F.col("name").isNotNull()).otherwise(
+        F.col("metric").isNull() & (F.col("operator").isNull() | known) & said
     )
-    names = ["metric", "operator", "threshold", "enabled"]
     start = rules.select("rule_id", F.lit("create").alias("op"), *names, F.lit(-1).cast("bigint").alias("at_ms"))
     log = start.unionByName(changes.filter(valid).select("rule_id", "op", *names, "at_ms"))
     folded = log.groupBy("rule_id").agg(
@@ -217,7 +220,8 @@ def maintain_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("op") == "delete", F.col("at_ms"))).alias("deleted"),
         F.max(F.col("op") == "create").alias("created"),
     )
-    return folded.filter(F.col("deleted").isNull() & F.col("created")).drop("deleted", "created")
+    kept = folded.filter(F.col("deleted").isNull() & F.col("created")).drop("deleted", "created")
+    return kept.withColumn("severity", F.coalesce("severity", F.lit("warn"))).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
 
 
 def cascade_delete(events: DataFrame, rules: DataFrame) -> DataFrame:

@@ -236,11 +236,24 @@ def _(t):
     return popularity.popular_recall(t.users, features, 50).withColumn("raw_score", F.round("raw_score", R))
 
 
+def digest_sql(name, source, columns):
+    """Common table expressions that end in ``name`` (rows, digest): the SQL of ``content_digest``."""
+    row = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns)
+    sums = ", ".join(f"sum(('0x' || substr(h, {4 + 8 * i}, 8))::UBIGINT) AS s{i}" for i in range(4))
+    return f"""{name}_h AS (SELECT sha256(concat_ws('|', {row})) AS h FROM {source}),
+    {name}_f AS (SELECT substr(h, 1, 3) AS p, count(*) AS c, {sums} FROM {name}_h GROUP BY 1),
+    {name} AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(concat_ws(':', p, c, s0, s1, s2, s3), '|' ORDER BY p), '')) AS digest FROM {name}_f)"""
+
+
+_VERSIONED = {"interactions": ["user_id", "item_id", "ts_ms"], "items": ["item_id", "title", "likes", "views"]}
+
+
 @query(
     "data_version",
-    None,
+    ", ".join(digest_sql(f"v_{n}", n, c) for n, c in _VERSIONED.items())
+    + """ SELECT substr(sha256('interactions=' || v_interactions.digest || ';items=' || v_items.digest || '|42|time-80-10-10|v1'), 1, 16) AS data_version
+    FROM v_interactions, v_items""",
 )
 def _(t):
-    # content digests fold wide integers; their SQL twin is query_set_digest
-    parts = {"interactions": t.interactions, "items": t.items.select("item_id", "title", "likes", "views")}
+    parts = {"interactions": t.interactions.select(*_VERSIONED["interactions"]), "items": t.items.select(*_VERSIONED["items"])}
     return split.data_version(parts, 42, "time-80-10-10", "v1")

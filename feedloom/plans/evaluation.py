@@ -296,12 +296,21 @@ def _(t):
     return E.query_set_digest(all_queries(t))
 
 
-@query("cohort_match")
+@query(
+    "cohort_match",
+    """SELECT 'same' AS pair, 1 AS comparable, 1 AS equal UNION ALL SELECT 'same queries, other scores', 1, 0 UNION ALL SELECT 'other queries', 0, 0""",
+)
 def _(t):
-    left, right = warm_queries(t), E.eval_queries(*parts(t), t.items, purpose="other", seed=7)
-    a = E.ranking_metrics(E.random_scores(left, SEED))
-    b = E.ranking_metrics(E.random_scores(right, SEED))
-    return E.cohort_match(left, right, a, b).select(F.col("comparable").cast("int").alias("comparable"), F.col("equal").cast("int").alias("equal"))
+    """Evaluations over equal query sets with equal and with unequal metrics, and over unequal query sets."""
+    left, right = materialise(warm_queries(t)), E.eval_queries(*parts(t), t.items, purpose="other", seed=7)
+    a, b = E.ranking_metrics(E.random_scores(left, SEED)), E.ranking_metrics(E.random_scores(right, SEED))
+    worse = E.ranking_metrics(left.withColumn("score", -F.col("label").cast("double")))
+    cases = {"same": (left, left, a, a), "same queries, other scores": (left, left, a, worse), "other queries": (left, right, a, b)}
+    found = None
+    for name, case in cases.items():
+        one = E.cohort_match(*case).select(F.lit(name).alias("pair"), F.col("comparable").cast("int").alias("comparable"), F.col("equal").cast("int").alias("equal"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(

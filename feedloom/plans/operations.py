@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..operators import operations as O
 from ..operators import split
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import files, sinks
 from .dashboard import END, START
-from .data import prepared, split_rows
+from .data import digest_sql, prepared, split_rows
 from .ranking import _OPS, campaigns, operations
 from .registry import query
 
@@ -153,7 +153,8 @@ def rules(t):
     return t.raw("supplier").select(
         F.col("s_suppkey").alias("rule_id"), names[(F.col("s_suppkey") % 9).cast("int")].alias("metric"),
         signs[F.col("s_nationkey") % 4].alias("operator"), (F.col("s_acctbal") * 2).alias("threshold"),
-        (F.col("s_nationkey") != 3).alias("enabled"),
+        (F.col("s_nationkey") != 3).alias("enabled"), F.col("s_name").alias("name"),
+        F.array(*[F.lit(x) for x in V.ALERT_SEVERITIES])[(F.col("s_suppkey") % 3).cast("int")].alias("severity"),
     )
 
 
@@ -168,7 +169,8 @@ def alert_events(t):
 
 
 _RULES = "rl AS (SELECT s_suppkey AS rule_id, ([" + ", ".join(f"'{m}'" for m in V.ALERT_METRICS) + """])[CAST(s_suppkey % 9 AS INTEGER) + 1] AS metric,
-    (['>', '>=', '<', '<='])[s_nationkey % 4 + 1] AS operator, s_acctbal * 2 AS threshold, s_nationkey <> 3 AS enabled FROM supplier)"""
+    (['>', '>=', '<', '<='])[s_nationkey % 4 + 1] AS operator, s_acctbal * 2 AS threshold, s_nationkey <> 3 AS enabled, s_name AS name,
+    (['info', 'warn', 'critical'])[CAST(s_suppkey % 3 AS INTEGER) + 1] AS severity FROM supplier)"""
 _ALERTS = _METRICS + ", " + _RULES + """, ae AS (SELECT 'a' || o_orderkey AS event_id, o_custkey % (3 * (SELECT count(*) FROM supplier)) AS rule_id,
         CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'resolved' END AS status, o_totalprice / 4 AS observed, epoch_ms(o_orderdate) AS triggered_ms FROM orders),
     fi AS (SELECT rule_id, value, CASE operator WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold ELSE value <= threshold END AS firing
@@ -203,25 +205,55 @@ def _(t):
     return O.acknowledge_alerts(alert_events(t), asked).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "alert_rules",
-    _RULES + """, ch AS (SELECT o_custkey % (2 * (SELECT count(*) FROM supplier)) AS rule_id, o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 0 AS del,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'ctr' WHEN o_orderkey % 3 = 1 THEN 'bogus' END AS metric, round(o_totalprice, 2) AS threshold, epoch_ms(o_orderdate) * 100000 + o_orderkey AS at_ms FROM orders),
-    ok AS (SELECT * FROM ch WHERE del OR metric IS NULL),
-    lt AS (SELECT rule_id, arg_max(threshold, at_ms) AS threshold, bool_or(del) AS del FROM ok GROUP BY rule_id)
-    SELECT rl.rule_id, rl.metric, rl.operator, round(coalesce(lt.threshold, rl.threshold), 6) AS threshold, CAST(rl.enabled AS INTEGER) AS enabled
-    FROM rl LEFT JOIN lt USING (rule_id) WHERE NOT coalesce(lt.del, FALSE)""",
-)
-def _(t):
+def rule_changes(t):
+    """A change log from the orders: updates, creations and deletions, some of them refused."""
     size, key = t.raw("supplier").count(), F.col("o_orderkey")
-    changes = t.raw("orders").select(
+    urgent, made = F.col("o_orderpriority") == "1-URGENT", key % 7 == 0
+    return t.raw("orders").select(
         (F.col("o_custkey") % (2 * size)).alias("rule_id"),
-        F.when((F.col("o_orderpriority") == "1-URGENT") & (key % 40 == 0), "delete").otherwise("update").alias("op"),
-        F.when(key % 3 == 0, "ctr").when(key % 3 == 1, "bogus").alias("metric"), F.lit(None).cast("string").alias("operator"),
-        F.round("o_totalprice", 2).alias("threshold"), F.lit(None).cast("boolean").alias("enabled"),
+        F.when(urgent & (key % 40 == 0), "delete").when(made, "create").otherwise("update").alias("op"),
+        F.when(made & (key % 2 == 0), F.concat(F.lit("rule "), key.cast("string"))).alias("name"),
+        F.when(made, F.when(key % 5 == 0, "bogus").otherwise("ctr")).when(key % 3 == 0, "clicks").alias("metric"),
+        F.when(made, ">").when(key % 11 == 0, "~").alias("operator"), F.round("o_totalprice", 2).alias("threshold"),
+        F.when(key % 13 == 0, "loud").when(key % 4 == 0, "critical").alias("severity"), F.lit(None).cast("boolean").alias("enabled"),
         (F.unix_millis(F.col("o_orderdate").cast("timestamp")) * 100000 + key).alias("at_ms"),
     )
-    return O.maintain_rules(rules(t), changes).withColumn("enabled", F.col("enabled").cast("int")).withColumn("threshold", F.round("threshold", R))
+
+
+_CHANGED = _RULES + """, ch AS (SELECT o_custkey % (2 * (SELECT count(*) FROM supplier)) AS rule_id,
+        CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 0 THEN 'delete' WHEN o_orderkey % 7 = 0 THEN 'create' ELSE 'update' END AS op,
+        CASE WHEN o_orderkey % 14 = 0 THEN 'rule ' || o_orderkey END AS name,
+        CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'bogus' ELSE 'ctr' END WHEN o_orderkey % 3 = 0 THEN 'clicks' END AS metric,
+        CASE WHEN o_orderkey % 7 = 0 THEN '>' WHEN o_orderkey % 11 = 0 THEN '~' END AS operator, round(o_totalprice, 2) AS threshold,
+        CASE WHEN o_orderkey % 13 = 0 THEN 'loud' WHEN o_orderkey % 4 = 0 THEN 'critical' END AS severity, epoch_ms(o_orderdate) * 100000 + o_orderkey AS at_ms FROM orders),
+    ok AS (SELECT * FROM ch WHERE op = 'delete' OR coalesce(severity, '') <> 'loud' AND CASE WHEN op = 'create' THEN metric = 'ctr' AND name IS NOT NULL
+        ELSE metric IS NULL AND operator IS NULL END),
+    lg AS (SELECT rule_id, 'create' AS op, name, metric, operator, threshold, severity, enabled, -1 AS at_ms FROM rl
+        UNION ALL SELECT rule_id, op, name, metric, operator, threshold, severity, NULL, at_ms FROM ok),
+    nr AS (SELECT rule_id, arg_max(name, at_ms) FILTER (name IS NOT NULL) AS name, arg_max(metric, at_ms) FILTER (metric IS NOT NULL) AS metric,
+        arg_max(operator, at_ms) FILTER (operator IS NOT NULL) AS operator, arg_max(threshold, at_ms) AS threshold,
+        coalesce(arg_max(severity, at_ms) FILTER (severity IS NOT NULL), 'warn') AS severity, coalesce(arg_max(enabled, at_ms) FILTER (enabled IS NOT NULL), TRUE) AS enabled
+        FROM lg GROUP BY rule_id HAVING bool_or(op = 'create') AND NOT bool_or(op = 'delete'))"""
+
+
+@query(
+    "alert_rules",
+    _CHANGED + " SELECT rule_id, name, metric, operator, round(threshold, 6) AS threshold, severity, CAST(enabled AS INTEGER) AS enabled FROM nr",
+)
+def _(t):
+    return O.maintain_rules(rules(t), rule_changes(t)).withColumn("enabled", F.col("enabled").cast("int")).withColumn("threshold", F.round("threshold", R))
+
+
+@query(
+    "alert_cascade",
+    _CHANGED + """, ae AS (SELECT o_custkey % (3 * (SELECT count(*) FROM supplier)) AS rule_id, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'resolved' END AS status FROM orders)
+    SELECT status, severity, count(*) AS n FROM ae JOIN nr USING (rule_id) GROUP BY status, severity""",
+)
+def _(t):
+    """Alert events whose rule is left after the change log, by status and severity of the rule."""
+    left = materialise(O.maintain_rules(rules(t), rule_changes(t)))
+    kept = O.cascade_delete(alert_events(t), left).join(left.select("rule_id", "severity"), "rule_id")
+    return kept.groupBy("status", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def registry(t, part):
@@ -431,6 +463,68 @@ def _(t):
     return files.stats_snapshot(t.items, "2024-01-01T00:00:00Z", "abc", "stats.tsv")
 
 
+@query("read_split", "SELECT split, user_id, item_id, ts_ms FROM split_rows")
+def _(t):
+    path = fresh_path(t, "split-files")
+    sinks.write_split_files(split_rows(t), path)
+    parts = [files.read_split(t.spark, f"{path}/{name}").withColumn("split", F.lit(name)) for name in ("train", "validation", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("split", "user_id", "item_id", "ts_ms")
+
+
+@query(
+    "read_feedback",
+    """SELECT 'f' || o_orderkey AS event_id, o_custkey AS user_id, o_orderkey % 1000 AS item_id, epoch_ms(o_orderdate) AS ts_ms, CASE WHEN o_orderstatus = 'F' THEN 'like' ELSE 'click' END AS event_type,
+        round(CAST(o_totalprice AS DOUBLE), 4) AS weight, 'positive, "sure"' AS disposition, CAST(o_orderdate AS VARCHAR) AS received_at FROM orders""",
+)
+def _(t):
+    path = fresh_path(t, "feedback")
+    rows = t.raw("orders").select(
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("event_id"), F.col("o_custkey").alias("user_id"),
+        (F.col("o_orderkey") % 1000).alias("item_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp_ms"),
+        F.when(F.col("o_orderstatus") == "F", "like").otherwise("click").alias("event_type"), F.col("o_totalprice").alias("weight"),
+        F.lit('positive, "sure"').alias("disposition"), F.col("o_orderdate").cast("string").alias("received_at"),
+    )
+    sinks.write_csv(rows, path)
+    return files.read_feedback(t.spark, path).withColumn("weight", F.round("weight", 4))
+
+
+_LOADED = """lo AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, concat_ws(' ', p_name, p_brand, p_type) || ', "new"' AS title, CAST(p_size + 1 AS BIGINT) AS likes,
+        CAST(floor(p_retailprice) AS BIGINT) AS views, 'online' AS status, 1 AS status_version FROM part WHERE p_size > 25),
+    kn AS (SELECT CAST(item_id AS VARCHAR) AS item_id, title, likes, views, status, 7 AS status_version FROM items WHERE likes < 40)"""
+
+
+def loaded_items(t):
+    """An item file with other spellings of its columns, written and loaded again."""
+    path = fresh_path(t, "items")
+    rows = t.raw("part").filter("p_size > 25").select(
+        F.col("p_partkey").alias("video_id"), F.concat(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.lit(', "new"')).alias("video_title"),
+        (F.col("p_size") + 1).alias("num_likes"), F.floor("p_retailprice").alias("num_views"),
+    )
+    sinks.write_csv(rows, path)
+    return files.load_items(t.spark, path)
+
+
+@query("load_items_file", _LOADED + " SELECT item_id, title, likes, views, round(ln(1 + views) + 2 * ln(1 + likes), 6) AS popularity_score FROM lo")
+def _(t):
+    return loaded_items(t).select("item_id", "title", "likes", "views", F.round("popularity_score", R).alias("popularity_score"))
+
+
+@query(
+    "upsert_items",
+    _LOADED + """ SELECT item_id, title, likes, views, status, status_version FROM kn WHERE item_id NOT IN (SELECT item_id FROM lo)
+    UNION ALL SELECT lo.item_id, lo.title, lo.likes, lo.views, coalesce(kn.status, lo.status), coalesce(kn.status_version, lo.status_version) FROM lo LEFT JOIN kn ON kn.item_id = lo.item_id""",
+)
+def _(t):
+    """The catalog after a load, written and read back: facts from the file, status from the catalog."""
+    names = ["item_id", "title", "likes", "views", "status", "status_version"]
+    known = t.items.filter("likes < 40").select(F.col("item_id").cast("string").alias("item_id"), "title", "likes", "views", "status", F.lit(7).alias("status_version"))
+    path = fresh_path(t, "catalog")
+    sinks.write_items(files.upsert_items(known, loaded_items(t).select(*names)), path)
+    return t.spark.read.schema("item_id string, title string, likes bigint, views bigint, status string, status_version int").parquet(path).withColumn(
+        "status_version", F.col("status_version").cast("int")
+    )
+
+
 @query("publish_table", "SELECT item_id, title FROM items")
 def _(t):
     root = fresh_path(t, "publish")
@@ -438,6 +532,21 @@ def _(t):
     return sinks.read_published(t.spark, root)
 
 
+@query(
+    "publish_pointer",
+    digest_sql("pt", "items", ["item_id", "title"]) + " SELECT 'v2' AS version, rows, digest FROM pt",
+)
+def _(t):
+    """The pointer after two publications."""
+    root = fresh_path(t, "publish")
+    sinks.publish_table(t.items.filter("likes > 10").select("item_id", "title"), root, "v1", ["item_id"])
+    pointer = sinks.publish_table(t.items.select("item_id", "title"), root, "v2", ["item_id"])
+    again = sinks.read_pointer(t.spark, root)
+    if again != pointer:
+        raise ValueError("the pointer read is not the one published")
+    return t.spark.createDataFrame([(again["version"], again["rows"], again["digest"])], "version string, rows bigint, digest string")
+
+
 @query("stats_join", """SELECT count(*) AS items, count(s.likes) AS verified FROM items i LEFT JOIN (SELECT item_id, likes FROM items WHERE likes % 2 = 0) s ON s.item_id = i.item_id AND s.likes = i.likes""")
 def _(t):
     stats = t.items.filter(F.col("likes") % 2 == 0).select("item_id", "likes", F.lit(1).alias("v"))

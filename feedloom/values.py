@@ -54,6 +54,7 @@ ALERT_METRICS = (
     "requests", "exposures", "impressions", "clicks", "likes", "ctr", "active_users", "latency_p95", "offline_items",
 )
 ALERT_OPERATORS = (">", ">=", "<", "<=")
+ALERT_SEVERITIES = ("info", "warn", "critical")
 FUSION_WEIGHTS = (0.16, 0.17, 0.175, 0.18, 0.19)
 HISTORY_BOUNDS = (5, 10, 20, 50)
 POPULARITY_BOUNDS = (0, 1, 2, 4, 8, 16, 32, 64)

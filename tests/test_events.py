@@ -211,3 +211,54 @@ def test_status_batches_are_idempotent(spark):
     updated, audit = O.apply_status_batches(items, df)
     assert {r["item_id"]: (r["status"], r["status_version"]) for r in updated.collect()} == {1: ("offline", 2), 2: ("offline", 2)}
     assert sorted(r["action"] for r in audit.collect()) == ["item_offline", "item_offline", "item_status_noop"]
+
+
+def test_publication_keeps_pointers_and_checks_contents(spark, tmp_path):
+    root, table = str(tmp_path / "published"), spark.createDataFrame([(1, "a"), (2, "b")], "item_id bigint, title string")
+    sinks.publish_table(table, root, "v1", ["item_id"])
+    sinks.publish_table(table.filter("item_id = 2"), root, "v2", ["item_id"])
+    assert sinks.read_pointer(spark, root)["version"] == "v2" and sinks.read_published(spark, root).count() == 1
+    assert sorted(p.name for p in (tmp_path / "published" / "pointers").glob("*.json")) == ["00000001.json", "00000002.json"]
+    table.write.mode("append").parquet(f"{root}/v2")  # somebody adds rows to a published version
+    with pytest.raises(ValueError, match="checksum"):
+        sinks.read_published(spark, root)
+    assert sinks.read_published(spark, root, verify=False).count() == 3
+
+
+def test_rule_changes(spark):
+    columns = "rule_id string, name string, metric string, operator string, threshold double, severity string, enabled boolean"
+    rules = spark.createDataFrame([("old", "Old", "ctr", ">", 1.0, "info", True)], columns)
+    log = spark.createDataFrame(
+        [
+            ("new", "create", "New", "clicks", ">=", 2.0, None, None, 1), ("new", "update", None, None, None, 3.0, "critical", False, 2),
+            ("nameless", "create", None, "clicks", ">", 1.0, None, None, 3), ("odd", "create", "Odd", "bogus", ">", 1.0, None, None, 4),
+            ("loud", "create", "Loud", "clicks", ">", 1.0, "loud", None, 5), ("old", "update", None, "clicks", None, 9.0, None, None, 6),
+            ("old", "update", None, None, "~", 9.0, None, None, 7), ("nobody", "update", "x", None, None, None, None, None, 8),
+            ("plain", "create", "Plain", "likes", "<", 1.0, None, None, 9), ("gone", "create", "Gone", "likes", "<", 1.0, None, None, 10), ("gone", "delete", None, None, None, None, None, None, 11),
+        ],
+        "rule_id string, op string, name string, metric string, operator string, threshold double, severity string, enabled boolean, at_ms bigint",
+    )
+    got = {r["rule_id"]: tuple(r)[1:] for r in O.maintain_rules(rules, log).select(*[c.split(" ")[0] for c in columns.split(", ")]).collect()}
+    assert got == {
+        "old": ("Old", "ctr", ">", 1.0, "info", True), "new": ("New", "clicks", ">=", 3.0, "critical", False),
+        "plain": ("Plain", "likes", "<", 1.0, "warn", True),
+    }
+    events = spark.createDataFrame([("a", "old"), ("b", "gone")], "event_id string, rule_id string")
+    assert [r["event_id"] for r in O.cascade_delete(events, spark.createDataFrame([("old",)], "rule_id string")).collect()] == ["a"]
+
+
+def test_every_file_of_a_folder_has_its_header_checked(spark, tmp_path):
+    folder = tmp_path / "split"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user_id,item_id,timestamp_ms\n1,2,3\n")
+    assert [tuple(r) for r in files.read_split(spark, str(folder)).collect()] == [(1, 2, 3)]
+    (folder / "b.csv").write_text("item_id,user_id,timestamp_ms\n1,2,3\n")
+    with pytest.raises(Exception):
+        files.read_split(spark, str(folder)).collect()
+
+
+def test_unknown_model_versions_fail(spark):
+    models = spark.createDataFrame([("a", "{}", '{"r":1.0}'), ("b", "{}", '{"r":2.0}')], "version string, protocol_json string, metrics_json string")
+    with pytest.raises(ValueError):
+        O.compare_models(models, ["a", "c"])
+    assert {r["delta"] for r in O.compare_models(models, ["a", "b"]).collect()} == {None}
