@@ -14,12 +14,13 @@ other. So every component is exact, and every pair between different components
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, components, flagged, materialise, maybe_among
@@ -33,6 +34,10 @@ PARTS = 16
 #: Words of 64 parity bits of a set.
 PARITY = 4
 ODD = [f"p{i}" for i in range(PARITY)]
+#: Bits of a class number that come from the signature; the size of the set stands above them, larger ones as SIZE_TOP.
+CLASS_BITS, SIZE_TOP = 44, (1 << 19) - 1
+#: Leaders a bucket has, one after the other, before what is left meets all.
+LEADERS = 3
 #: Bytes of text unfolded at once; a longer text is unfolded alone.
 SLICE_BYTES = 1 << 20
 
@@ -158,7 +163,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             if own is not None and part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, own), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.int64())] * (1 + PARITY), pa.array([i], pa.int32()),
-                     pa.array([part.tobytes()], pa.binary())], names=names,
+                     pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names,
                 )
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(
@@ -174,24 +179,24 @@ def _sketch(found: DataFrame) -> np.ndarray:
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
                 total = totals.setdefault(i, np.zeros(SKETCH // SLICES, dtype=np.uint64))
-                total += np.frombuffer(part.as_buffer(), dtype=np.uint32)
+                total += np.frombuffer(zlib.decompress(part.as_buffer()), dtype=np.uint32)
         for i, total in totals.items():
             full = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([full.tobytes()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(full.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     parts = found.filter(F.col("slice").isNotNull()).select("slice", "counts")
     group = F.pmod(F.xxhash64("counts"), F.lit(16))
     parts = parts.repartition("slice", group).mapInArrow(run, "slice int, counts binary")
     counts = np.zeros((SLICES, SKETCH // SLICES), dtype=np.uint32)
     for row in parts.repartition("slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
-        counts[row["slice"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+        counts[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
     return counts.ravel()
 
 
 def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, class, n, pos): the prefix of every set, rarest shingles first. Sets a task has given out are left out.
+    """(token, class, pos): the prefix of every set, rarest shingles first. Sets a task has given out are left out.
 
-    A class is the first half of a signature: enough to meet by, the whole one decides.
+    A class number holds the size of the set and the first bits of its signature: enough to meet by in a bucket.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -206,7 +211,8 @@ def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarr
                 if size[i] and sig not in given:
                     given.add(sig)
                     new[i] = True
-            classes = np.frombuffer(b"".join(sigs), dtype=">i8")[::2].astype(np.int64)
+            head = np.frombuffer(b"".join(sigs), dtype=">u8")[::2].astype(np.uint64) >> np.uint64(64 - CLASS_BITS)
+            classes = np.minimum(size, SIZE_TOP) << CLASS_BITS | head.astype(np.int64)
             owner = np.repeat(np.arange(len(sigs)), size)
             keep = new[owner]
             value, owner = value[keep], owner[keep]
@@ -218,11 +224,10 @@ def _prefixes(docs: DataFrame, text: str, n: int, percent: int, counts: np.ndarr
             own = pos < length[owner]
             value, owner, pos = value[own], owner[own], pos[own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(classes[owner]), pa.array(size[owner], pa.int32()), pa.array(pos, pa.int32())],
-                names=["token", "class", "n", "pos"],
+                [pa.array(value.view(np.int64)), pa.array(classes[owner]), pa.array(pos, pa.int32())], names=["token", "class", "pos"],
             )
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, class bigint, n int, pos int")
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "token bigint, class bigint, pos int")
 
 
 def _in_reach(percent: int, na: Column, nb: Column, best: Column) -> Column:
@@ -231,6 +236,12 @@ def _in_reach(percent: int, na: Column, nb: Column, best: Column) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * best >= percent * (na + nb))
 
 
+def _reachable(percent: int, x: str, y: str, xpos: Column, ypos: Column) -> Column:
+    """``_in_reach`` by the sizes in two class numbers; sizes at the top are not known and pass."""
+    nx, ny = (F.shiftright(c, CLASS_BITS) for c in (x, y))
+    return (F.greatest(nx, ny) >= SIZE_TOP) | _in_reach(percent, nx, ny, F.least(nx - xpos, ny - ypos))
+
+
 def _may_link(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """(a, b): signatures of the met classes (x, y, xpos, ypos) that length, positional and (by parity) suffix filter leave."""
     fields = ["sig", "n", *ODD]
@@ -297,38 +308,51 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
     standing = materialise(
         rows.filter("n > 0").groupBy("sig").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in ODD])
     )
-    half = F.conv(F.substring(F.hex("sig"), 1, 16), 16, -10).cast("bigint").alias("class")
-    facts = standing.select(half, "sig", "n", *ODD)
-    rows = rows.select("k", "sig", "n")
+    head = F.shiftrightunsigned(F.conv(F.substring(F.hex("sig"), 1, 16), 16, -10).cast("bigint"), 64 - CLASS_BITS)
+    number = F.shiftleft(F.least(F.col("n"), F.lit(SIZE_TOP)).cast("bigint"), CLASS_BITS).bitwiseOR(head).alias("class")
+    facts = materialise(standing.select(number, "sig", "n", *ODD))
+    rows, standing = rows.select("k", "sig", "n"), standing.select("sig", "k")
     # postings carry what they meet by; the least class of a shingle that several share leads its bucket
     postings = materialise(_prefixes(docs, text, n, percent, _sketch(found)))
     leads = materialise(
         postings.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("top")).filter("lead <> top").select("token", "lead")
     )
-    meeting = materialise(maybe_among(postings, "token", leads.select("token"), SHARED_BITS).distinct().join(leads, "token"))
+    near = maybe_among(postings, "token", leads.select("token"), SHARED_BITS).repartition("token").dropDuplicates(["token", "class"])
+    meeting = materialise(near.join(leads, "token"))
     zero = F.lit(0)
-    led = meeting.filter(F.col("class") != F.col("lead")).groupBy(F.col("class").alias("x"), F.col("lead").alias("y")).agg(F.min("pos").alias("xpos"))
-    first = materialise(_may_link(led.withColumn("ypos", zero), facts, percent))
-    linked = materialise(_verified(docs, key, text, n, first, standing.select("sig", "k"), percent))
-    joined = materialise(components(linked))
-    # classes the leader did not bring together meet the others of their bucket
-    label = joined.join(facts, joined["node"] == facts["sig"]).select("class", "root")
-    alone = F.hex("class").cast("binary")
-    named = meeting.join(label, "class", "left").withColumn("c", F.coalesce("root", alone)).drop("root")
+    led = meeting.filter((F.col("class") != F.col("lead")) & _reachable(percent, "class", "lead", F.col("pos"), zero))
+    led = led.groupBy(F.col("class").alias("x"), F.col("lead").alias("y")).agg(F.min("pos").alias("xpos"), F.lit(0).alias("ypos"))
+    tried = materialise(_may_link(led, facts, percent))
+    linked = materialise(_verified(docs, key, text, n, tried, standing, percent))
+    for leader in range(1, LEADERS + 1):
+        # buckets in which some class is not in the first leader's component
+        named = materialise(_named(meeting, components(linked), facts))
+        rest = named.filter(~F.col("led"))
+        if leader < LEADERS:
+            # the least class of those becomes the next leader and meets all of other components
+            heads = rest.groupBy("token").agg(F.min("class").alias("y"), F.min_by("c", "class").alias("cy"), F.min_by("pos", "class").alias("ypos"))
+            both = named.select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos")).join(heads, "token")
+        else:
+            others = named.select("token", F.col("class").alias("y"), F.col("c").alias("cy"), F.col("pos").alias("ypos"), "led")
+            both = rest.select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos")).join(others, "token")
+            both = both.filter(F.col("led") | (F.col("x") < F.col("y")))
+        met = both.filter((F.col("cx") != F.col("cy")) & _reachable(percent, "x", "y", F.col("xpos"), F.col("ypos")))
+        met = met.groupBy("x", "y").agg(F.min("xpos").alias("xpos"), F.min("ypos").alias("ypos"))
+        again = materialise(_may_link(met, facts, percent).join(tried, ["a", "b"], "left_anti"))
+        linked = materialise(linked.unionByName(_verified(docs, key, text, n, again, standing, percent)))
+        tried = tried.unionByName(again)
+    return rows, components(linked)
+
+
+def _named(meeting: DataFrame, joined: DataFrame, facts: DataFrame) -> DataFrame:
+    """(token, class, pos, c, led) of the buckets with several components: c names one, led tells whether it is the leader's."""
+    label = materialise(joined.join(facts, joined["node"] == facts["sig"]).select("class", F.xxhash64("root").alias("root")))
+    named = meeting.join(label, "class", "left").withColumn("c", F.coalesce("root", "class")).drop("root")
     heads = label.select(F.col("class").alias("lead"), F.col("root").alias("lead_root"))
-    lead_c = F.coalesce("lead_root", F.hex("lead").cast("binary"))
-    named = materialise(named.join(heads, "lead", "left").select("token", "class", "n", "pos", "c", (F.col("c") == lead_c).alias("led")))
-    rest = named.filter(~F.col("led")).select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    others = named.select("token", F.col("class").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("py"), "led")
-    best = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    met = (
-        rest.join(others, "token")
-        .filter((F.col("cx") != F.col("cy")) & (F.col("led") | (F.col("x") < F.col("y"))) & _in_reach(percent, F.col("nx"), F.col("ny"), best))
-        .groupBy("x", "y").agg(F.min("px").alias("xpos"), F.min("py").alias("ypos"))
-    )
-    again = materialise(_may_link(met, facts, percent).join(first, ["a", "b"], "left_anti"))
-    more = materialise(_verified(docs, key, text, n, again, standing.select("sig", "k"), percent))
-    return rows, components(linked.unionByName(more))
+    named = named.join(heads, "lead", "left").select("token", "class", "pos", "c", (F.col("c") == F.coalesce("lead_root", "lead")).alias("led"))
+    named = materialise(named)
+    open_ones = named.filter(~F.col("led")).select("token").distinct()
+    return named.join(open_ones, "token", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
