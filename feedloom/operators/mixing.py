@@ -277,7 +277,8 @@ def diversity_metrics(ranked: DataFrame, items: DataFrame, first: int = 50) -> D
 def active_boosts(campaigns: DataFrame, users: DataFrame, feed_type: str, now: int) -> DataFrame:
     """Campaigns per user: running, for all users or for listed ones, for every feed or for this one.
 
-    Listed users join on their id. Campaigns for everybody are few by contract and join on a constant.
+    Listed users join on their id. Campaigns for everybody come down to the strongest of each item before they
+    meet the users; these are few by contract.
     """
     running = campaigns.filter(
         F.col("active") & (F.col("starts_ms") <= now) & (F.col("ends_ms") > now)
@@ -286,13 +287,13 @@ def active_boosts(campaigns: DataFrame, users: DataFrame, feed_type: str, now: i
     facts = ["campaign_id", "item_id", "position", "priority", "created_ms"]
     listed = running.filter(F.col("audience") == "users").select(F.explode("user_ids").alias("user_id"), *facts)
     direct = listed.distinct().join(users.select("user_id"), "user_id")
-    shared = running.filter(F.col("audience") == "all").agg(F.collect_list(F.struct(*facts)).alias("all"))
+    # one campaign per (user, item): highest priority, then the oldest
+    strongest = F.max(F.struct("priority", -F.col("created_ms"), -F.col("campaign_id"), "position", "campaign_id", "created_ms")).alias("b")
+    per_item = running.filter(F.col("audience") == "all").groupBy("item_id").agg(strongest)
+    shared = per_item.select("b.campaign_id", "item_id", "b.position", "b.priority", "b.created_ms").agg(F.collect_list(F.struct(*facts)).alias("all"))
     everyone = users.select("user_id", F.explode(shared.scalar()).alias("c")).select("user_id", "c.*")
     both = direct.unionByName(everyone)
-    # one campaign per (user, item): highest priority, then the oldest
-    best = both.groupBy("user_id", "item_id").agg(
-        F.max(F.struct("priority", -F.col("created_ms"), -F.col("campaign_id"), "position", "campaign_id")).alias("b")
-    )
+    best = both.groupBy("user_id", "item_id").agg(strongest)
     return best.select("user_id", "item_id", "b.priority", "b.position", "b.campaign_id")
 
 
@@ -355,13 +356,34 @@ def source_overlap(candidates: DataFrame) -> DataFrame:
     return per_user.groupBy("left", "right").agg(F.count(F.lit(1)).alias("users"), F.avg(share).alias("jaccard"))
 
 
+def source_diagnostics(candidates: DataFrame, positives: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(per source, per pair of sources) over the first k eligible candidates of every user and source.
+
+    Hit rate: share of the users with candidates for whom the source alone has a positive item among its first k.
+    Overlap: mean Jaccard of the two lists.
+    """
+    users = candidates.agg(F.count_distinct("user_id")).scalar()
+    order = [score_key("raw_score").desc(), F.expr(TEXT_ID)]
+    head = top_n(candidates.filter("eligible").select("user_id", "item_id", "source", "raw_score"), ["user_id", "source"], order, k)
+    hits = head.join(positives.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi")
+    rates = head.select("source").distinct().join(
+        hits.select("user_id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("__hit")), "source", "left"
+    )
+    share = (F.coalesce("__hit", F.lit(0)) / users).alias("hitrate_at_k")
+    return rates.select("source", F.coalesce("__hit", F.lit(0)).alias("users_hit"), share), source_overlap(head)
+
+
 def policy_diagnostics(mixed: DataFrame, positives: DataFrame, k: int = 10) -> DataFrame:
-    """Per source over the first k rows: mean rows per user, hits, borrowed slots."""
+    """Per source over the first k rows of all lists: mean rows per user, hits, slots taken for another source
+    (``relaxations``); and in every row ``fallback_queries``, the users with any such slot, and ``duplicate_results``."""
     head = mixed.filter(F.col("rank") < k)
-    users = mixed.select("user_id").distinct().agg(F.count(F.lit(1))).scalar()
+    borrowed = F.col("requested") != F.col("source")
+    users = mixed.agg(F.count_distinct("user_id")).scalar()
+    fallen = head.filter(borrowed).agg(F.count_distinct("user_id")).scalar()
+    doubled = mixed.groupBy("user_id", "item_id").agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0))).scalar()
     hits = positives.select("user_id", "item_id").distinct().withColumn("__hit", F.lit(1))
     return head.join(hits, ["user_id", "item_id"], "left").groupBy("source").agg(
         (F.count(F.lit(1)) / users).alias("mean_quota"),
         F.count("__hit").alias("hits"),
-        F.count_if(F.col("requested") != F.col("source")).alias("relaxations"),
-    )
+        F.count_if(borrowed).alias("relaxations"),
+    ).withColumn("fallback_queries", fallen).withColumn("duplicate_results", doubled)

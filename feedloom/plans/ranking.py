@@ -402,11 +402,29 @@ def _(t):
     return mixing.mix_policy(mixer_candidates(t), contexts(t), V.SAFE_POLICY, 50)
 
 
+def liked(t):
+    return t.behaviour.filter(F.col("event_type") == "like").select("user_id", "item_id").distinct()
+
+
 @query("policy_diagnostics")
 def _(t):
-    mixed = mixing.mix_policy(mixer_candidates(t), contexts(t), V.DYNAMIC_POLICY, 50)
-    liked = t.behaviour.filter(F.col("event_type") == "like")
-    return mixing.policy_diagnostics(materialise(mixed), liked)
+    mixed = materialise(mixing.mix_policy(mixer_candidates(t), contexts(t), V.DYNAMIC_POLICY, 50))
+    return mixing.policy_diagnostics(mixed, liked(t))
+
+
+_HEADS = """tp AS (SELECT * FROM (SELECT user_id, source, item_id, row_number() OVER (PARTITION BY user_id, source ORDER BY round(raw_score, 9) DESC, CAST(item_id AS VARCHAR)) AS rn
+        FROM candidates WHERE eligible) WHERE rn <= 10)"""
+
+
+@query(
+    "source_hitrates",
+    _HEADS + """, lk AS (SELECT DISTINCT user_id, item_id FROM behaviour WHERE event_type = 'like'),
+    ht AS (SELECT source, count(DISTINCT tp.user_id) AS h FROM tp JOIN lk ON lk.user_id = tp.user_id AND lk.item_id = tp.item_id GROUP BY source)
+    SELECT s.source, coalesce(h, 0) AS users_hit, round(coalesce(h, 0) / CAST((SELECT count(DISTINCT user_id) FROM candidates) AS DOUBLE), 6) AS hitrate_at_k
+    FROM (SELECT DISTINCT source FROM tp) s LEFT JOIN ht ON ht.source = s.source""",
+)
+def _(t):
+    return rounded(mixing.source_diagnostics(t.candidates, liked(t))[0], "hitrate_at_k")
 
 
 _PAIRS = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(sorted(V.SOURCES)) for b in sorted(V.SOURCES)[i + 1:])
@@ -426,6 +444,19 @@ def _(t):
     return rounded(mixing.source_overlap(t.candidates), "jaccard")
 
 
+@query(
+    "source_head_jaccard",
+    _HEADS + f""", pn AS (SELECT * FROM (VALUES {_PAIRS}) v(a, b)), us AS (SELECT DISTINCT user_id FROM tp),
+    bt AS (SELECT x.user_id, x.source AS a, y.source AS b, count(*) AS k FROM tp x JOIN tp y ON y.user_id = x.user_id AND y.item_id = x.item_id AND x.source < y.source GROUP BY 1, 2, 3),
+    sz AS (SELECT user_id, source, count(*) AS c FROM tp GROUP BY user_id, source),
+    jj AS (SELECT a, b, us.user_id, coalesce(k, 0) AS k, coalesce(p.c, 0) + coalesce(q.c, 0) - coalesce(k, 0) AS un FROM us CROSS JOIN pn LEFT JOIN bt USING (user_id, a, b)
+        LEFT JOIN sz p ON p.user_id = us.user_id AND p.source = a LEFT JOIN sz q ON q.user_id = us.user_id AND q.source = b)
+    SELECT a AS "left", b AS "right", count(*) AS users, round(avg(CASE WHEN un = 0 THEN 0.0 ELSE k / CAST(un AS DOUBLE) END), 6) AS jaccard FROM jj GROUP BY a, b""",
+)
+def _(t):
+    return rounded(mixing.source_diagnostics(t.candidates, liked(t))[1], "jaccard")
+
+
 def prior_lists(t):
     return merge.quality_prior(merged(t)).select("user_id", "item_id", F.col("primary_source").alias("source"), F.col("place").alias("rank"))
 
@@ -493,10 +524,23 @@ def _(t):
     return mixing.active_boosts(campaigns(t), t.users, "personalized", 1500)
 
 
-@query("place_boosts")
+_PLACED = PRIOR + ", " + _BOOST + """, bo AS (SELECT user_id, list({'item': item_id, 'at': position} ORDER BY priority, CAST(item_id AS VARCHAR) DESC) AS b FROM bb WHERE pick = 1 GROUP BY user_id),
+    ls AS (SELECT user_id, list({'item_id': item_id, 'forced': 0, 'source': primary_source} ORDER BY place) AS o FROM pp
+        WHERE (user_id, item_id) NOT IN (SELECT user_id, item_id FROM bb WHERE pick = 1) GROUP BY user_id),
+    fo AS (SELECT coalesce(ls.user_id, bo.user_id) AS user_id, coalesce(o, []) AS o, coalesce(b, []) AS b, 1 AS i FROM ls FULL OUTER JOIN bo ON bo.user_id = ls.user_id
+        UNION ALL SELECT user_id, list_concat(list_concat(o[1:least(b[i]['at'], len(o), 499)], [{'item_id': b[i]['item'], 'forced': 1, 'source': 'forced'}]),
+            o[least(b[i]['at'], len(o), 499) + 1:]), b, i + 1 FROM fo WHERE i <= len(b)),
+    fl AS (SELECT user_id, o[1:500] AS o FROM fo WHERE i = len(b) + 1)"""
+
+
+@query(
+    "place_boosts",
+    "RECURSIVE " + _PLACED + """ SELECT user_id, rank - 1 AS rank, e.item_id, e.forced, e.source FROM (SELECT user_id, unnest(o) AS e, generate_subscripts(o, 1) AS rank FROM fl)""",
+)
 def _(t):
     boosts = mixing.active_boosts(campaigns(t), t.users, "personalized", 1500)
-    return mixing.place_boosts(prior_lists(t), boosts, 500)
+    rows = mixing.place_boosts(prior_lists(t), boosts, 500)
+    return rows.withColumn("forced", F.col("forced").cast("int")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def recalled(t):
@@ -510,7 +554,9 @@ def recalled(t):
     pop = popularity.popularity_features(train_events(t), train_cut(t))
     counts = popularity.exposure_counts(t.items, t.exposures)
     one = F.lit(1).cast("bigint")
+    embedded = vectors.feedback_embeddings(visual_profiles(t), B.user_item_state(t.behaviour), vectors.usable(t.visual_vectors))
     parts_ = {
+        "dssm": vectors.top_items_per_user(embedded, visual_items(t), V.SOURCE_LIMITS["dssm"]).withColumn("support", one),
         "svd": factors.svd_recall(users, items, None, V.SOURCE_LIMITS["svd"]).withColumn("support", one),
         "content": vectors.top_items_per_user(
             profiles(t, title_vectors), title_vectors, V.SOURCE_LIMITS["content"], width=8192, floor=0.0
@@ -531,11 +577,109 @@ def recalled(t):
     )
 
 
+def shared_union(t):
+    """Users whose candidates are ranked by the unified model: those it was trained on."""
+    known = train_rows(t).select("user_id").distinct()
+    union = merged(t).withColumn("source", F.col("primary_source")).filter(F.col("source") != "explore").join(known, "user_id", "left_semi")
+    return _ranked(union, F.expr(merge.TEXT_ID))
+
+
+def serving_users(t):
+    """Users with the state of their models; those of inactive accounts count as failed."""
+    return t.users.select("user_id", "dataset_user_id", (~F.col("is_active")).alias("model_failed"))
+
+
+def served_sources(t):
+    """unified, svd, popular and explore lists of all users."""
+    return shared_union(t), *[_ranked(t.candidates.filter(F.col("source") == n), F.col("item_id")) for n in ("svd", "popular", "explore")]
+
+
+_SEEN = "SELECT DISTINCT user_id, item_id FROM behaviour WHERE event_type IN ('impression', 'click', 'like', 'not_interested')"
+
+
+def _fall_sql(p, tiers):
+    """The fallback plan over a table of tiers, as common table expressions that end in ``{p}oo`` and ``{p}pl``."""
+    return f"""{p}us AS (SELECT t.* FROM {tiers} t JOIN users u ON u.user_id = t.user_id WHERE (dataset_user_id IS NOT NULL OR tier = 2) AND NOT (tier = 0 AND NOT is_active)),
+    {p}fi AS (SELECT user_id, min(tier) AS best FROM {p}us GROUP BY user_id),
+    {p}ch AS (SELECT t.* FROM {p}us t JOIN {p}fi f ON f.user_id = t.user_id AND tier = best ANTI JOIN sn ON sn.user_id = t.user_id AND sn.item_id = t.item_id),
+    {p}pl AS (SELECT u.user_id, dataset_user_id IS NOT NULL AS mapped, NOT is_active AS failed, best, coalesce(c, 0) AS held FROM users u LEFT JOIN {p}fi f ON f.user_id = u.user_id
+        LEFT JOIN (SELECT user_id, count(*) AS c FROM {p}ch GROUP BY user_id) k ON k.user_id = u.user_id),
+    {p}al AS (SELECT user_id, item_id, source, rank, 0 AS step FROM {p}ch UNION ALL SELECT ex.user_id, ex.item_id, 'explore', rank, 1 FROM ex JOIN {p}pl l ON l.user_id = ex.user_id AND held < 5
+        ANTI JOIN sn ON sn.user_id = ex.user_id AND sn.item_id = ex.item_id ANTI JOIN {p}ch c ON c.user_id = ex.user_id AND c.item_id = ex.item_id),
+    {p}oo AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step, rank, CAST(item_id AS VARCHAR)) - 1 AS place FROM {p}al)"""
+
+
+_FALL = MERGED + f""", tr AS (SELECT user_id, item_id, primary_source AS source, 0 AS tier, row_number() OVER (PARTITION BY user_id ORDER BY CAST(item_id AS VARCHAR)) - 1 AS rank
+        FROM un WHERE primary_source <> 'explore' AND user_id IN (SELECT user_id FROM train_pairs)
+        UNION ALL SELECT user_id, item_id, 'svd', 1, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 FROM candidates WHERE source = 'svd'
+        UNION ALL SELECT user_id, item_id, 'popular', 2, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 FROM candidates WHERE source = 'popular'),
+    po AS (SELECT * FROM tr WHERE tier = 2),
+    ex AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS rank FROM candidates WHERE source = 'explore'),
+    sn AS ({_SEEN}), {_fall_sql('', 'tr')}, {_fall_sql('p', 'po')},
+    pe AS (SELECT oo.user_id, 'personalized' AS feed_type, item_id, source, place AS rank, CASE WHEN best = 1 THEN 'unified_model_unavailable_svd_fallback'
+        WHEN coalesce(best, 2) = 2 AND mapped AND failed THEN 'deep_model_failed_popular_fallback' WHEN coalesce(best, 2) = 2 AND NOT mapped THEN 'cold_start'
+        WHEN coalesce(best, 2) = 2 THEN 'personalized_model_unavailable' WHEN held < 5 THEN 'candidate_shortfall' END AS fallback_reason FROM oo JOIN pl ON pl.user_id = oo.user_id WHERE place < 5),
+    ep AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1 AS place FROM (SELECT ex.* FROM ex ANTI JOIN sn ON sn.user_id = ex.user_id AND sn.item_id = ex.item_id)),
+    fd AS (SELECT * FROM pe UNION ALL SELECT user_id, 'popular', item_id, source, place, NULL FROM poo WHERE place < 5
+        UNION ALL SELECT user_id, 'explore', item_id, 'explore', place, NULL FROM ep WHERE place < 5)"""
+
+
+@query("fallback_plan", _FALL + " SELECT user_id, item_id, source, rank, fallback_reason FROM pe")
+def _(t):
+    rows = feeds.fallback_plan(serving_users(t), *served_sources(t), B.seen_pairs(t.behaviour), 5)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("feed_lists", _FALL + " SELECT * FROM fd")
+def _(t):
+    rows = feeds.feed_lists(serving_users(t), *served_sources(t), B.seen_pairs(t.behaviour), 5)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+NOW, TTL = 946684800000, 30
+
+
+def heads(t, lists):
+    return feeds.snapshot_heads(serving_users(t), lists, NOW, 42, "m1", TTL)
+
+
+@query(
+    "feed_snapshots",
+    _FALL + f""", rs AS (SELECT DISTINCT user_id, feed_type, fallback_reason FROM fd WHERE fallback_reason IS NOT NULL),
+    hd AS (SELECT user_id, feed_type, ('0x' || substr(sha256(concat_ws(':', '42', user_id, feed_type)), 1, 8))::UBIGINT::BIGINT % 2147483648 AS seed
+        FROM users CROSS JOIN (VALUES ('personalized'), ('popular'), ('explore')) f(feed_type))
+    SELECT substr(sha256(concat_ws(':', 'snapshot', hd.user_id, hd.feed_type, '{NOW}', seed)), 1, 32) AS snapshot_id, hd.user_id, hd.feed_type, 'm1' AS model_version, seed, fallback_reason,
+        {NOW} AS created_ms, {NOW + TTL * V.MINUTE_MS} AS expires_ms FROM hd LEFT JOIN rs ON rs.user_id = hd.user_id AND rs.feed_type = hd.feed_type""",
+)
+def _(t):
+    lists = feeds.feed_lists(serving_users(t), *served_sources(t), B.seen_pairs(t.behaviour), 5)
+    return heads(t, lists)
+
+
 @query("build_feeds")
 def _(t):
-    union = materialise(merge.merge_sources(materialise(recalled(t))))
-    boosts = mixing.active_boosts(campaigns(t), t.users, "personalized", 1500)
-    return feeds.build_feeds(union, t.items, B.seen_pairs(t.behaviour), boosts, 500)
+    """All three feeds from the recall chain, as rows of their snapshots."""
+    candidates = materialise(recalled(t))
+    union = materialise(merge.merge_sources(candidates))
+    seen = B.seen_pairs(t.behaviour)
+    of = {n: _ranked(candidates.filter(F.col("source") == n), F.round("raw_score", 9).desc(), F.expr(merge.TEXT_ID)) for n in ("svd", "popular", "explore")}
+    unified = feeds.ranked_union(B.exclude_seen(B.online_only(union, t.items), seen))
+    lists = materialise(feeds.feed_lists(serving_users(t), unified, of["svd"], of["popular"], of["explore"], seen, 100))
+    boosts = None
+    for feed in V.FEEDS:
+        part = mixing.active_boosts(campaigns(t), t.users, feed, 1500).withColumn("feed_type", F.lit(feed))
+        boosts = part if boosts is None else boosts.unionByName(part)
+    return feeds.build_feeds(lists, heads(t, lists), t.items, boosts, 100)
+
+
+@query(
+    "expire_snapshots",
+    f"""SELECT count(*) FILTER (created_ms + {30 * V.DAY_MS} <= 883612800000) AS deleted_expired_snapshots,
+        count(*) FILTER (created_ms + {30 * V.DAY_MS} > 883612800000) AS retained_active_snapshots FROM requests""",
+)
+def _(t):
+    made = t.requests.select(F.col("request_id").alias("snapshot_id"), (F.col("created_ms") + 30 * V.DAY_MS).alias("expires_ms"))
+    return feeds.expire_snapshots(made, 883612800000)[1]
 
 
 def snapshots(t):
@@ -592,35 +736,6 @@ def _(t):
     return feeds.invalidate_snapshots(snapshots(t), operations(t)).select("snapshot_id", F.col("position").cast("bigint").alias("position"), "invalidated_ms")
 
 
-_FALL = MERGED + """, tr AS (SELECT user_id, item_id, primary_source AS source, 0 AS tier, row_number() OVER (PARTITION BY user_id ORDER BY CAST(item_id AS VARCHAR)) - 1 AS rank FROM un WHERE primary_source <> 'explore' AND user_id % 3 = 0
-        UNION ALL SELECT user_id, item_id, 'svd', 1, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 FROM candidates WHERE source = 'svd' AND user_id % 2 = 0
-        UNION ALL SELECT user_id, item_id, 'popular', 2, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 FROM candidates WHERE source = 'popular'),
-    ex AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) - 1 AS rank FROM candidates WHERE source = 'explore'),
-    sn AS (SELECT DISTINCT user_id, item_id FROM behaviour WHERE event_type IN ('impression', 'click', 'like', 'not_interested')),
-    us AS (SELECT tr.* FROM tr JOIN users u ON u.user_id = tr.user_id WHERE dataset_user_id IS NOT NULL OR tier = 2),
-    fi AS (SELECT user_id, min(tier) AS best FROM us GROUP BY user_id),
-    ch AS (SELECT us.* FROM us JOIN fi ON fi.user_id = us.user_id AND tier = best ANTI JOIN sn ON sn.user_id = us.user_id AND sn.item_id = us.item_id),
-    pl AS (SELECT u.user_id, dataset_user_id IS NOT NULL AS mapped, best, coalesce(c, 0) AS held FROM users u LEFT JOIN fi ON fi.user_id = u.user_id
-        LEFT JOIN (SELECT user_id, count(*) AS c FROM ch GROUP BY user_id) k ON k.user_id = u.user_id),
-    al AS (SELECT user_id, item_id, source, rank, 0 AS step FROM ch UNION ALL SELECT ex.user_id, ex.item_id, 'explore', rank, 1 FROM ex JOIN pl ON pl.user_id = ex.user_id AND held < 5
-        ANTI JOIN sn ON sn.user_id = ex.user_id AND sn.item_id = ex.item_id ANTI JOIN ch ON ch.user_id = ex.user_id AND ch.item_id = ex.item_id),
-    oo AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step, rank, CAST(item_id AS VARCHAR)) - 1 AS place FROM al)
-    SELECT oo.user_id, item_id, source, place AS rank, CASE WHEN best = 1 THEN 'unified_model_unavailable_svd_fallback' WHEN coalesce(best, 2) = 2 AND NOT mapped THEN 'cold_start'
-        WHEN coalesce(best, 2) = 2 THEN 'personalized_model_unavailable' WHEN held < 5 THEN 'candidate_shortfall' END AS fallback_reason FROM oo JOIN pl ON pl.user_id = oo.user_id WHERE place < 5"""
-
-
-@query("fallback_plan", _FALL)
-def _(t):
-    listed = _ranked
-    union = merged(t).withColumn("source", F.col("primary_source")).filter((F.col("source") != "explore") & (F.col("user_id") % 3 == 0))
-    of = lambda name: t.candidates.filter(F.col("source") == name)
-    rows = feeds.fallback_plan(
-        t.users, listed(union, F.expr(merge.TEXT_ID)), listed(of("svd").filter(F.col("user_id") % 2 == 0), F.col("item_id")),
-        listed(of("popular"), F.col("item_id")), listed(of("explore"), F.col("item_id")), B.seen_pairs(t.behaviour), 5,
-    )
-    return rows.withColumn("rank", F.col("rank").cast("bigint"))
-
-
 def manifests(t):
     """Candidate manifests of the served rows, with JSON score arrays."""
     row = snapshots(t)

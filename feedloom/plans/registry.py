@@ -50,10 +50,12 @@ def _used(text: str) -> list[str]:
 def with_views(text: str) -> str:
     """Prefix the common table expressions a statement uses.
 
-    A statement may start with its own ``name AS (...), ... SELECT``.
+    A statement may start with its own ``name AS (...), ... SELECT``, behind RECURSIVE if one of them is.
     """
     parts = [f"{view} AS ({VIEWS[view]})" for view in _used(text)]
     body = text.strip()
+    if body.startswith("RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, body.removeprefix("RECURSIVE ")])
     if re.match(r"(?i)(SELECT|WITH)\b", body):
         return (("WITH " + ",\n".join(parts) + "\n") if parts else "") + body
     return "WITH " + ",\n".join([*parts, body]) if parts else "WITH " + body
