@@ -278,6 +278,37 @@ def random_scores(queries: DataFrame, seed: int) -> DataFrame:
     return queries.withColumn("score", hash_uniform(seed, F.col("user_id"), F.col("item_id")))
 
 
+def hybrid_scores(scored: DataFrame, warm: int = 7, cold: int = 3) -> DataFrame:
+    """Model scores with content for items the model does not know: rows with ``score`` in place of the three scores.
+
+    ``scored``: user_id, item_id, label, model (null for unknown items), content, popular. Where a user has unknown items
+    with a content score, the first ``warm`` by model and the first ``cold`` of those by content lead, the rest follows
+    by 0.55 model + 0.35 content + 0.10 popularity, each as a share of its rank; the score is the place from the end.
+    Other users keep the model's scores. Lists are query sets, bounded by their protocol.
+    """
+    unknown = -1e12
+    model = F.coalesce("model", F.lit(unknown))
+    usable = F.col("model").isNull() & (F.col("content") > 0)
+    user = Window.partitionBy("user_id")
+
+    def rank(score: str | Column, *more: Column) -> Column:
+        return F.row_number().over(Window.partitionBy("user_id", *more).orderBy(score_key(score).desc(), "item_id")) - 1
+
+    rows = scored.withColumn("__m", model).withColumn("__cold", usable).withColumn("__known", F.col("model").isNotNull())
+    rows = rows.withColumns({
+        "__n": F.count(F.lit(1)).over(user), "__colds": F.count_if("__cold").over(user), "__warms": F.least(F.count_if("__known").over(user), F.lit(warm)),
+        "__rm": rank("__m"), "__rc": rank("content"), "__rp": rank("popular"),
+        "__w": F.when(F.col("__known"), rank("__m", F.col("__known"))), "__c": F.when(F.col("__cold"), rank("content", F.col("__cold"))),
+    })
+    share = lambda c: F.when(F.col("__n") <= 1, 1.0).otherwise(1.0 - F.col(c) / F.greatest(F.lit(1), F.col("__n") - 1))
+    lead = F.when(F.col("__w") < warm, F.col("__w")).when(F.col("__c") < cold, F.col("__warms") + F.col("__c"))
+    rows = rows.withColumn("__b", 0.55 * share("__rm") + 0.35 * share("__rc") + 0.10 * share("__rp")).withColumn("__lead", lead)
+    place = Window.partitionBy("user_id").orderBy(F.col("__lead").asc_nulls_last(), score_key("__b").desc(), "item_id")
+    rows = rows.withColumn("__place", F.row_number().over(place) - 1)
+    score = F.when(F.col("__colds") == 0, F.col("__m")).otherwise((F.col("__n") - F.col("__place")).cast("double"))
+    return rows.select(*[c for c in scored.columns if c not in ("model", "content", "popular")], score.alias("score"))
+
+
 def query_set_digest(queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Digest of a query set, independent of row order."""
     return content_digest(queries, keys or ["user_id", "item_id", "label"])

@@ -235,13 +235,83 @@ def _(t):
     return rounded(E.ranking_metrics(source_scores(t, materialise(all_queries(t))), ["scorer"]), *METRICS)
 
 
+def three_scores(t, queries, model):
+    """model, content and popular scores of the queried pairs; ``model``: user_id, item_id, model."""
+    rows = queries.join(content_scores(t, queries).select("user_id", "item_id", F.col("score").alias("content")), ["user_id", "item_id"])
+    rows = rows.join(popular_scored(t, queries).select("user_id", "item_id", F.col("score").alias("popular")), ["user_id", "item_id"])
+    return rows.join(model, ["user_id", "item_id"], "left")
+
+
+_HYBRID = _SCORERS + """,
+    hy AS (SELECT c.user_id, c.item_id, c.label, c.score AS content, p.score AS popular, CASE WHEN c.item_id IN (SELECT item_id FROM train_pairs) THEN m.score END AS model
+        FROM (SELECT * FROM ls WHERE scorer = 'content') c JOIN (SELECT * FROM ls WHERE scorer = 'popular') p ON p.user_id = c.user_id AND p.item_id = c.item_id
+        JOIN (SELECT * FROM ls WHERE scorer = 'item_cf') m ON m.user_id = c.user_id AND m.item_id = c.item_id),
+    h1 AS (SELECT *, coalesce(model, -1e12) AS mm, model IS NULL AND content > 0 AS cold, model IS NOT NULL AS known, count(*) OVER (PARTITION BY user_id) AS n FROM hy),
+    h2 AS (SELECT *, count(*) FILTER (cold) OVER (PARTITION BY user_id) AS colds, least(7, count(*) FILTER (known) OVER (PARTITION BY user_id)) AS warms,
+        row_number() OVER (PARTITION BY user_id ORDER BY round(mm, 9) DESC, item_id) - 1 AS rm, row_number() OVER (PARTITION BY user_id ORDER BY round(content, 9) DESC, item_id) - 1 AS rc,
+        row_number() OVER (PARTITION BY user_id ORDER BY round(popular, 9) DESC, item_id) - 1 AS rp,
+        CASE WHEN known THEN row_number() OVER (PARTITION BY user_id, known ORDER BY round(mm, 9) DESC, item_id) - 1 END AS w,
+        CASE WHEN cold THEN row_number() OVER (PARTITION BY user_id, cold ORDER BY round(content, 9) DESC, item_id) - 1 END AS c FROM h1),
+    h3 AS (SELECT *, CASE WHEN w < 7 THEN w WHEN c < 3 THEN warms + c END AS lead, CASE WHEN n <= 1 THEN 1 ELSE 0.55::DOUBLE * (1 - rm / (n - 1)::DOUBLE) + 0.35::DOUBLE * (1 - rc / (n - 1)::DOUBLE)
+        + 0.1::DOUBLE * (1 - rp / (n - 1)::DOUBLE) END AS b FROM h2),
+    h4 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lead NULLS LAST, round(b, 9) DESC, item_id) - 1 AS place FROM h3),
+    hs AS (SELECT user_id, item_id, label, CASE WHEN colds = 0 THEN mm ELSE n - place END AS score FROM h4)"""
+
+
+@query("hybrid_metrics", _HYBRID + ", " + metrics_sql("hs") + " SELECT * FROM mt")
+def _(t):
+    """The hybrid scorer over co-occurrence scores as the model, which SQL can follow."""
+    queries = materialise(all_queries(t))
+    known = train_rows(t).select("item_id").distinct()
+    neighbors = item_cf.item_neighbors(t.interactions, train_cut(t))
+    cf = item_cf.cf_scores(queries, item_cf.cf_weights(train_rows(t)), neighbors).select("user_id", "item_id", F.col("score").alias("model"))
+    model = queries.select("user_id", "item_id").join(known, "item_id", "left_semi").join(cf, ["user_id", "item_id"], "left").na.fill(0.0, ["model"])
+    return rounded(E.ranking_metrics(E.hybrid_scores(three_scores(t, queries, model))), *METRICS)
+
+
+def policy_lists(t, queries, scored, policy):
+    """Lists of a mixing policy over the queried pairs, from scores model, content and popular, co-occurrence and draws."""
+    from .. import values as V
+    from ..operators import merge, mixing
+
+    neighbors = item_cf.item_neighbors(t.interactions, train_cut(t))
+    cf = item_cf.cf_scores(queries, item_cf.cf_weights(train_rows(t)), neighbors).select("user_id", "item_id", F.col("score").alias("item_cf"), F.col("support").alias("cf_support"))
+    drawn = E.random_scores(queries, SEED).select("user_id", "item_id", F.col("score").alias("explore"))
+    wide = scored.join(cf, ["user_id", "item_id"], "left").join(drawn, ["user_id", "item_id"])
+    names = {"model": "model", "content_profile": "content", "item_cf": "item_cf", "popular": "popular", "explore": "explore"}
+    each = F.array(*[F.struct(F.lit(n).alias("source"), F.col(c).cast("double").alias("raw_score")) for n, c in names.items()])
+    cold = F.col("model").isNull().alias("is_cold")
+    rows = wide.select("user_id", "item_id", cold, F.coalesce("cf_support", F.lit(0)).cast("bigint").alias("support"), F.explode(each).alias("s"))
+    rows = rows.select("user_id", "item_id", "is_cold", "support", "s.*").filter(F.col("raw_score").isNotNull())
+    counts = train_rows(t).select("user_id", "item_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"))
+    candidates = materialise(merge.source_candidates(rows, counts).withColumn("eligible", F.lit(True)))
+    context = merge.user_context(candidates, counts).withColumn("warm_user", F.lit(True))
+    most = queries.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert policy in (V.SAFE_POLICY, V.DYNAMIC_POLICY)
+    return merge.policy_score(mixing.mix_policy(candidates, context, policy, most or 1), queries)
+
+
 @query("evaluate_svd")
 def _(t):
+    """Metrics of the factorisation alone, with content for what it does not know, and under both mixing policies."""
+    from .. import values as V
+
     queries = materialise(all_queries(t))
     users, items = svd(t)
-    scored = vectors.pair_scores(queries.select("user_id", "item_id", "label"), users, items)
-    known = queries.join(scored.drop("label"), ["user_id", "item_id"], "left").na.fill(-1e12, ["score"])
-    return E.ranking_metrics(known)
+    model = vectors.pair_scores(queries.select("user_id", "item_id"), users, items).select("user_id", "item_id", F.col("score").alias("model"))
+    scored = materialise(three_scores(t, queries, model))
+    names = ["user_id", "item_id", "label", "score"]
+    parts_ = {
+        "svd": scored.withColumn("score", F.coalesce("model", F.lit(-1e12))),
+        "svd_content_fallback": E.hybrid_scores(scored),
+        V.SAFE_POLICY: policy_lists(t, queries, scored, V.SAFE_POLICY),
+        V.DYNAMIC_POLICY: policy_lists(t, queries, scored, V.DYNAMIC_POLICY),
+    }
+    stacked = None
+    for scorer, rows in parts_.items():
+        part = rows.select(*names, F.lit(scorer).alias("scorer"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return E.ranking_metrics(stacked, ["scorer"])
 
 
 @query(
