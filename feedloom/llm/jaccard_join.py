@@ -36,8 +36,6 @@ PARITY = 4
 ODD = [f"p{i}" for i in range(PARITY)]
 #: Bits of a class number that come from the signature; the size of the set stands above them, larger ones as SIZE_TOP.
 CLASS_BITS, SIZE_TOP = 44, (1 << 19) - 1
-#: Leaders a bucket has, one after the other, before what is left meets all.
-LEADERS = 3
 #: Bytes of text unfolded at once; a longer text is unfolded alone.
 SLICE_BYTES = 1 << 20
 
@@ -324,35 +322,33 @@ def similar_classes(docs: DataFrame, key: str, text: str, n: int, percent: int)
     led = led.groupBy(F.col("class").alias("x"), F.col("lead").alias("y")).agg(F.min("pos").alias("xpos"), F.lit(0).alias("ypos"))
     tried = materialise(_may_link(led, facts, percent))
     linked = materialise(_verified(docs, key, text, n, tried, standing, percent))
-    for leader in range(1, LEADERS + 1):
-        # buckets in which some class is not in the first leader's component
-        named = materialise(_named(meeting, components(linked), facts))
-        rest = named.filter(~F.col("led"))
-        if leader < LEADERS:
-            # the least class of those becomes the next leader and meets all of other components
-            heads = rest.groupBy("token").agg(F.min("class").alias("y"), F.min_by("c", "class").alias("cy"), F.min_by("pos", "class").alias("ypos"))
-            both = named.select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos")).join(heads, "token")
-        else:
-            others = named.select("token", F.col("class").alias("y"), F.col("c").alias("cy"), F.col("pos").alias("ypos"), "led")
-            both = rest.select("token", F.col("class").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos")).join(others, "token")
-            both = both.filter(F.col("led") | (F.col("x") < F.col("y")))
-        met = both.filter((F.col("cx") != F.col("cy")) & _reachable(percent, "x", "y", F.col("xpos"), F.col("ypos")))
-        met = met.groupBy("x", "y").agg(F.min("xpos").alias("xpos"), F.min("ypos").alias("ypos"))
-        again = materialise(_may_link(met, facts, percent).join(tried, ["a", "b"], "left_anti"))
-        linked = materialise(linked.unionByName(_verified(docs, key, text, n, again, standing, percent)))
-        tried = tried.unionByName(again)
-    return rows, components(linked)
+    # classes the leader did not bring together meet the others of their bucket, under all filters
+    named = materialise(_named(meeting, components(linked), facts))
+    rest = named.filter(~F.col("led"))
+    one, two = (
+        df.select("token", *[F.col(c).alias(f"{x}_{c}") for c in named.columns if c != "token"]) for x, df in (("x", rest), ("y", named))
+    )
+    na, nb = F.col("x_n"), F.col("y_n")
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in ODD), F.lit(0))
+    met = one.join(two, "token").filter(
+        (F.col("x_c") != F.col("y_c")) & (F.col("y_led") | (F.col("x_class") < F.col("y_class")))
+        & _in_reach(percent, na, nb, F.least(na - F.col("x_pos"), nb - F.col("y_pos"))) & ((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb))
+    )
+    met = met.groupBy(F.col("x_class").alias("x"), F.col("y_class").alias("y")).agg(F.min("x_pos").alias("xpos"), F.min("y_pos").alias("ypos"))
+    again = materialise(_may_link(met, facts, percent).join(tried, ["a", "b"], "left_anti"))
+    more = materialise(_verified(docs, key, text, n, again, standing, percent))
+    return rows, components(linked.unionByName(more))
 
 
 def _named(meeting: DataFrame, joined: DataFrame, facts: DataFrame) -> DataFrame:
-    """(token, class, pos, c, led) of the buckets with several components: c names one, led tells whether it is the leader's."""
+    """(token, class, pos, c, led, n, parity) of the buckets with several components: c names one, led tells whether it is the leader's."""
     label = materialise(joined.join(facts, joined["node"] == facts["sig"]).select("class", F.xxhash64("root").alias("root")))
     named = meeting.join(label, "class", "left").withColumn("c", F.coalesce("root", "class")).drop("root")
     heads = label.select(F.col("class").alias("lead"), F.col("root").alias("lead_root"))
     named = named.join(heads, "lead", "left").select("token", "class", "pos", "c", (F.col("c") == F.coalesce("lead_root", "lead")).alias("led"))
     named = materialise(named)
     open_ones = named.filter(~F.col("led")).select("token").distinct()
-    return named.join(open_ones, "token", "left_semi")
+    return named.join(open_ones, "token", "left_semi").join(facts.select("class", "n", *ODD), "class")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
