@@ -218,3 +218,95 @@ def test_mixing_heads_equal_whole_lists(spark):
         lists = {s: [i for _, _, i in sorted((-round(x[3], 9), str(x[1]), x[1]) for x in rows if x[0] == user and x[2] == s)] for s in V.MIX_SOURCES}
         want = mixing.fill_slots("content_cf" if user % 2 == 0 else "cold", scored(lists), 8)
         assert got[user] == [(r[0], r[1]) for r in want]
+
+
+def _feed_inputs(spark):
+    lists = "user_id long, item_id long, source string, rank int"
+    users = spark.createDataFrame([(1, 10, False), (2, 20, True), (3, None, False), (4, 40, True)], "user_id long, dataset_user_id long, model_failed boolean")
+    unified = spark.createDataFrame([(1, 1, "content", 0), (1, 2, "svd", 1), (2, 1, "content", 0), (4, 1, "content", 0)], lists)
+    svd = spark.createDataFrame([(2, 3, "svd", 0)], lists)
+    popular = spark.createDataFrame([(u, i, "popular", i) for u in (1, 2, 3, 4) for i in (4, 5)], lists)
+    explore = spark.createDataFrame([(u, i, "explore", i) for u in (1, 2, 3, 4) for i in (5, 6, 7, 8)], lists)
+    seen = spark.createDataFrame([(1, 4), (1, 6)], "user_id long, item_id long")
+    return users, unified, svd, popular, explore, seen
+
+
+def test_three_feeds_with_their_reasons(spark):
+    rows = feeds.feed_lists(*_feed_inputs(spark), 3).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault((r["user_id"], r["feed_type"]), []).append(r["item_id"])
+    reasons = {r["user_id"]: r["fallback_reason"] for r in rows if r["feed_type"] == "personalized"}
+    assert got[1, "personalized"] == [1, 2, 5] and got[1, "popular"] == [5, 7, 8] and got[1, "explore"] == [5, 7, 8]
+    assert got[2, "personalized"] == [3, 5, 6] and got[4, "personalized"] == [4, 5, 6] and got[3, "popular"] == [4, 5, 6]
+    assert reasons == {
+        1: "candidate_shortfall", 2: "unified_model_unavailable_svd_fallback", 3: "cold_start", 4: "deep_model_failed_popular_fallback",
+    }
+    assert {r["fallback_reason"] for r in rows if r["feed_type"] != "personalized"} == {None}
+
+
+def test_snapshots_of_all_feeds(spark):
+    users, *sources = _feed_inputs(spark)
+    lists = feeds.feed_lists(users, *sources, 3)
+    heads = feeds.snapshot_heads(users, lists, 1000, 7, "m1", 30)
+    again = feeds.snapshot_heads(users.repartition(3), lists, 1000, 7, "m1", 30)
+    assert heads.count() == 12 and sorted(map(str, heads.collect())) == sorted(map(str, again.collect()))
+    assert {r["expires_ms"] for r in heads.collect()} == {1000 + 30 * 60_000} and len({r["seed"] for r in heads.collect()}) == 12
+    items = spark.createDataFrame([(i, f"title {i}", "offline" if i == 5 else "online") for i in range(1, 10)], "item_id long, title string, status string")
+    boosts = spark.createDataFrame([(1, "popular", 9, 0, 1), (1, "popular", 5, 0, 5)], "user_id long, feed_type string, item_id long, position int, priority int")
+    rows = feeds.build_feeds(lists, heads, items, boosts, 3).join(heads, "snapshot_id").orderBy("position").collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["user_id"], r["feed_type"]), []).append((r["item_id"], r["forced"]))
+    assert got[1, "popular"] == [(9, True), (7, False), (8, False)]  # the offline boost and the offline row are gone
+    assert all(i != 5 for own in got.values() for i, _ in own) and all(len(own) == len({i for i, _ in own}) for own in got.values())
+    alive, counts = feeds.expire_snapshots(heads, 1000 + 30 * 60_000)
+    assert alive.count() == 0 and tuple(counts.first()) == (12, 0)
+
+
+def test_hybrid_scores_match_the_rule(spark):
+    import random
+
+    from feedloom.operators import evaluation as E
+
+    rng, rows = random.Random(4), []
+    for user in range(12):
+        for item in rng.sample(range(100), rng.choice([1, 3, 15, 25])):
+            model = None if user % 3 and rng.random() < 0.3 else round(rng.random(), 2)
+            rows.append((user, item, 0, model, rng.choice([0.0, 0.3, 0.6]), rng.choice([0.0, 1.0, 2.0])))
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in E.hybrid_scores(
+        spark.createDataFrame(rows, "user_id long, item_id long, label int, model double, content double, popular double")).collect()}
+    for user in range(12):
+        own = [r for r in rows if r[0] == user]
+        n, value = len(own), {r[1]: -1e12 if r[3] is None else r[3] for r in own}
+        cold = [r for r in own if r[3] is None and r[4] > 0]
+        if not cold:
+            assert all(got[user, r[1]] == value[r[1]] for r in own)
+            continue
+
+        def share(key):
+            order = sorted(own, key=lambda r: (-key(r), r[1]))
+            return {r[1]: 1.0 if n <= 1 else 1 - i / (n - 1) for i, r in enumerate(order)}
+
+        m, c, p = share(lambda r: value[r[1]]), share(lambda r: r[4]), share(lambda r: r[5])
+        blend = {r[1]: round(0.55 * m[r[1]] + 0.35 * c[r[1]] + 0.10 * p[r[1]], 9) for r in own}
+        warm = sorted((r for r in own if r[3] is not None), key=lambda r: (-r[3], r[1]))[:7]
+        first = [r[1] for r in warm] + [r[1] for r in sorted(cold, key=lambda r: (-r[4], r[1]))[:3]]
+        order = first + sorted((r[1] for r in own if r[1] not in first), key=lambda i: (-blend[i], i))
+        assert [got[user, i] for i in order] == [float(n - k) for k in range(n)]
+
+
+def test_policy_and_source_diagnostics(spark):
+    mixed = spark.createDataFrame(
+        [(1, 0, 10, "model", "model"), (1, 1, 11, "popular", "model"), (2, 0, 12, "model", "model"), (2, 1, 12, "explore", "explore")],
+        "user_id long, rank int, item_id long, source string, requested string",
+    )
+    liked = spark.createDataFrame([(1, 11), (2, 12)], "user_id long, item_id long")
+    got = {r["source"]: tuple(r)[1:] for r in mixing.policy_diagnostics(mixed, liked).collect()}
+    assert got == {"model": (1.0, 1, 0, 1, 1), "popular": (0.5, 1, 1, 1, 1), "explore": (0.5, 1, 0, 1, 1)}
+    rows = [(1, i, s, 1.0 / (1 + i), True) for s in ("svd", "popular") for i in range(20) if s == "svd" or i % 2] + [(2, 1, "svd", 1.0, False)]
+    cands = spark.createDataFrame(rows, "user_id long, item_id long, source string, raw_score double, eligible boolean")
+    rates, overlap = mixing.source_diagnostics(cands, spark.createDataFrame([(1, 15)], "user_id long, item_id long"))
+    assert {r["source"]: (r["users_hit"], r["hitrate_at_k"]) for r in rates.collect()} == {"svd": (0, 0.0), "popular": (1, 0.5)}
+    pair = [r for r in overlap.collect() if {r["left"], r["right"]} == {"popular", "svd"}][0]
+    assert pair["jaccard"] == 5 / 15
