@@ -158,19 +158,6 @@ def _ranked(rows, *order):
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - 1)
 
 
-@query(
-    "policy_score",
-    ALL + """, ls AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id DESC) - 1 AS rank FROM qs WHERE label = 1 OR item_id % 3 = 0)
-    SELECT q.user_id, q.item_id, CAST(CASE WHEN rank IS NULL THEN -1e12 ELSE count(*) OVER (PARTITION BY q.user_id) - rank END AS DOUBLE) AS score
-    FROM qs q LEFT JOIN ls ON ls.user_id = q.user_id AND ls.item_id = q.item_id""",
-)
-def _(t):
-    queries = materialise(all_queries(t))
-    listed = queries.filter((F.col("label") == 1) | (F.col("item_id") % 3 == 0))
-    ranked = _ranked(listed, F.col("item_id").desc())
-    return merge.policy_score(ranked, queries).select("user_id", "item_id", "score")
-
-
 _HIST = """hc AS (SELECT user_id, count(*) AS c FROM train_pairs GROUP BY user_id),
     hf AS (SELECT user_id, c, ln(1 + c) / greatest(1, ln(1 + (SELECT max(c) FROM hc))) AS density,
         (c >= 5)::INT + (c >= 10)::INT + (c >= 20)::INT + (c >= 50)::INT AS bucket FROM hc),
@@ -376,6 +363,18 @@ def _(t):
     return mixing.mix_safe_warm(model, 50).select("user_id", "item_id", "source", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "policy_score",
+    ALL + ", " + _MIXOK + """, ls AS (SELECT user_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) - 1 AS rank FROM mz) WHERE rank < 50)
+    SELECT q.user_id, q.item_id, CAST(CASE WHEN rank IS NULL THEN -1e12 ELSE count(*) OVER (PARTITION BY q.user_id) - rank END AS DOUBLE) AS score
+    FROM qs q LEFT JOIN ls ON ls.user_id = q.user_id AND ls.item_id = q.item_id""",
+)
+def _(t):
+    """The safe policy's lists as a scorer of the query set."""
+    ranked = mixing.mix_safe_warm(mixer_candidates(t), 50).select("user_id", "item_id", "rank")
+    return merge.policy_score(ranked, materialise(all_queries(t))).select("user_id", "item_id", "score")
+
+
 def contexts(t):
     counts = history(t).select("user_id", F.col("c").alias("history_count"))
     found = merge.user_context(mixer_candidates(t), counts)
