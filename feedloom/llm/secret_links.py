@@ -147,9 +147,11 @@ def listed(spans: Column) -> Column:
 
 
 def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{KINDS[i]}") for i in range(BASE)
-    ]
+    def counted(kind: int) -> Column:
+        # one parameter: a second one would be the place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [counted(i).alias(f"n_{KINDS[i]}") for i in range(BASE)]
     return found.select(
         key, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("bigint").alias("n_linked"),
