@@ -14,3 +14,41 @@ def test_no_side_is_broadcast_before_it_is_measured(spark, name):
     joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
     # the vocabulary, at most max_features rows, is broadcast by a hint
     assert all("[term#" in line for line in joins)
+
+
+def test_terms_are_counted_in_the_row(spark):
+    from feedloom.operators import content
+
+    items = spark.createDataFrame([(1, "abab  x"), (1, "ab"), (2, "a"), (3, ""), (4, None)], "item_id long, title string")
+    terms = content.title_terms(items)
+    got = {(r["item_id"], r["term"]): r["tf"] for r in terms.collect()}
+    assert got[1, "ab"] == 3 and got[1, "aba"] == 1 and got[1, "b x"] == 1 and {k[0] for k in got} == {1}
+    plan = terms.groupBy("item_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_profiles_sum_over_batches(spark):
+    """A user whose rows span many Arrow batches, users without weight, and a pair of equal vectors."""
+    import math
+
+    from feedloom.operators import content
+
+    vectors = spark.createDataFrame([(i, [i % 3, 5 + i % 7, 70_000 + i], [0.5, 0.25, 1.0]) for i in range(50)], "item_id long, terms array<int>, weights array<double>")
+    pairs = [(1, i, 1.0) for i in range(50)] + [(2, 3, 2.0), (3, 4, 0.0), (4, 999, 1.0)]
+    weights = spark.createDataFrame(pairs, "user_id long, item_id long, w double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {r["user_id"]: dict(zip(r["terms"], r["weights"])) for r in content.content_profiles(weights, vectors).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for user, item, w in pairs:
+        if item < 50:
+            own = want.setdefault(user, {})
+            for term, x in zip([item % 3, 5 + item % 7, 70_000 + item], [0.5, 0.25, 1.0]):
+                own[term] = own.get(term, 0.0) + w * x
+    for user in (1, 2):
+        norm = math.sqrt(sum(x * x for x in want[user].values()))
+        assert got[user] == pytest.approx({k: x / norm for k, x in want[user].items()})
+    assert set(got) == {1, 2}
