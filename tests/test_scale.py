@@ -52,3 +52,31 @@ def test_profiles_sum_over_batches(spark):
         norm = math.sqrt(sum(x * x for x in want[user].values()))
         assert got[user] == pytest.approx({k: x / norm for k, x in want[user].items()})
     assert set(got) == {1, 2}
+
+
+@pytest.mark.parametrize("floor", [None, 0.0])
+def test_best_over_pieces_equals_best_at_once(floor):
+    import numpy as np
+
+    from feedloom.operators import vectors
+
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.normal(size=(40, 200)), 1) + rng.choice([0.0, 4e-10, -4e-10], size=(40, 200))
+    scores[3], scores[4, 5:] = -1.0, np.nan
+    ids = np.sort(rng.choice(10_000, 200, replace=False))
+    want = vectors.best_rows(scores, ids, 7, floor)
+    for step in (1, 9, 64, 200):
+        got = vectors._best_of(((i, scores[:, i : i + step]) for i in range(0, 200, step)), ids, 7, floor)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+        assert np.array_equal(got[2], scores[want])
+
+
+def test_one_block_of_items_needs_no_second_shuffle(spark):
+    from feedloom.operators import vectors
+
+    users = spark.createDataFrame([(u, [float(u), 1.0]) for u in range(9)], "user_id long, weights array<double>")
+    items = spark.createDataFrame([(i, [1.0, float(i % 4)]) for i in range(30)], "item_id long, weights array<double>")
+    one = vectors.top_items_per_user(users, items, 5)
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString()
+    many = vectors.top_items_per_user(users, items, 5, item_block=4)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
