@@ -80,3 +80,10 @@ def test_one_block_of_items_needs_no_second_shuffle(spark):
     assert "Window" not in one._jdf.queryExecution().executedPlan().toString()
     many = vectors.top_items_per_user(users, items, 5, item_block=4)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_boosts_meet_in_the_row(spark):
+    """Users and campaigns are not held as (user, item) rows in any sort or shuffle."""
+    df = load()["active_boosts"].build(Tables(spark, entry.SMOKE_DIR))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and ", item_id#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(user_id" in x)
