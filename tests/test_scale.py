@@ -1,6 +1,7 @@
 """Plans and operators that must not grow with the tables in one place."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from feedloom.plans.catalog import load
@@ -87,3 +88,50 @@ def test_boosts_meet_in_the_row(spark):
     df = load()["active_boosts"].build(Tables(spark, entry.SMOKE_DIR))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(user_id" in plan and ", item_id#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(user_id" in x)
+
+
+def _shuffles(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_no_term_and_no_edge_travels_as_a_row(spark):
+    from feedloom.operators import item_cf
+    from feedloom.plans import evaluation
+
+    t = Tables(spark, entry.SMOKE_DIR)
+    asked = t.interactions.select("user_id", "item_id").distinct().withColumn("label", F.lit(1))
+    content_ = _shuffles(evaluation.content_scores(t, asked))
+    neighbors = spark.createDataFrame([(1, 2, 0.5)], "item_id long, neighbor_id long, score double")
+    cf = _shuffles(item_cf.cf_scores(asked, item_cf.cf_weights(t.interactions), neighbors))
+    assert content_ and cf
+    assert not any("user_id" in line and "term_id" in line for line in content_)
+    assert not any("user_id" in line and "h#" in line.replace("hash", "") for line in cf)
+
+
+def test_pair_scores_over_batches(spark):
+    """Users that span Arrow batches, without a profile, with terms the profile lacks, and items without a vector."""
+    from feedloom.operators import content, item_cf
+
+    vectors = {i: {i % 3: 0.5, 5 + i % 7: 0.25, 70_000 + i: 1.0} for i in range(40)}
+    profiles = {1: {0: 0.5, 70_003: 2.0}, 2: {1: 1.0, 6: 3.0, 70_039: 1.0}, 3: {5: 1.0}}
+    pairs = [(u, i, i % 2) for u in (1, 2, 4) for i in range(45)]
+
+    def packed(key, of):
+        return spark.createDataFrame([(k, sorted(v), [v[x] for x in sorted(v)]) for k, v in of.items()], f"{key} long, terms array<int>, weights array<double>")
+
+    edges = {h: {(h * 7 + k) % 45: 1.0 / (k + 1) for k in range(9)} for h in range(40)}
+    history = [(u, h, 1.0 + h % 3) for u in (1, 2, 3) for h in range(u, 45, 2)]
+    asked = spark.createDataFrame(pairs, "user_id long, item_id long, label int")
+    near = spark.createDataFrame([(h, n, s) for h, of in edges.items() for n, s in of.items()], "item_id long, neighbor_id long, score double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        dots = {(r["user_id"], r["item_id"], r["label"]): r["score"] for r in content.pair_dots(asked, packed("user_id", profiles), packed("item_id", vectors)).collect()}
+        sums = {(r["user_id"], r["item_id"]): (r["score"], r["support"]) for r in item_cf.cf_scores(asked, spark.createDataFrame(history, "user_id long, item_id long, w double"), near).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(dots) == set(pairs) and set(sums) == {p[:2] for p in pairs}
+    for u, i, label in pairs:
+        assert dots[u, i, label] == pytest.approx(sum(w * profiles.get(u, {}).get(x, 0.0) for x, w in vectors.get(i, {}).items()))
+        hits = [w * edges[h][i] for v, h, w in history if v == u and i in edges.get(h, {})]
+        assert sums[u, i] == (pytest.approx(sum(hits)), len(hits))
