@@ -135,3 +135,21 @@ def test_pair_scores_over_batches(spark):
         assert dots[u, i, label] == pytest.approx(sum(w * profiles.get(u, {}).get(x, 0.0) for x, w in vectors.get(i, {}).items()))
         hits = [w * edges[h][i] for v, h, w in history if v == u and i in edges.get(h, {})]
         assert sums[u, i] == (pytest.approx(sum(hits)), len(hits))
+
+
+def _shuffled_records(spark):
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_few_positives_need_all_draws(spark):
+    from feedloom.operators import training
+
+    train = spark.createDataFrame([(u, (u * 37 + k * 101) % 3000) for u in range(300) for k in range(10)], "user_id long, item_id long")
+    before = _shuffled_records(spark)
+    rows = training.weighted_negatives(train, train, train, rounds=20)
+    assert rows.groupBy("user_id", "item_id").count().filter("count <> 4").isEmpty()
+    # 80 draws of a positive would be 240,000 rows in every shuffle
+    assert _shuffled_records(spark) - before < 150_000
