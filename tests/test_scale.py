@@ -153,3 +153,15 @@ def test_few_positives_need_all_draws(spark):
     assert rows.groupBy("user_id", "item_id").count().filter("count <> 4").isEmpty()
     # 80 draws of a positive would be 240,000 rows in every shuffle
     assert _shuffled_records(spark) - before < 150_000
+
+
+def test_only_ids_travel_to_the_pool(spark):
+    from feedloom.operators import popularity
+
+    users = spark.createDataFrame([(u,) for u in range(500)], "user_id long")
+    counts = spark.createDataFrame([(i, i % 11) for i in range(200)], "item_id long, exposure_count long")
+    before = _shuffled_records(spark)
+    rows = popularity.explore_recall(users, counts, 7, 20).groupBy("user_id").count().collect()
+    assert len(rows) == 500 and {r["count"] for r in rows} == {20}
+    # 10,000 rows of the lists moved before
+    assert _shuffled_records(spark) - before < 4_000
