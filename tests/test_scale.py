@@ -165,3 +165,22 @@ def test_only_ids_travel_to_the_pool(spark):
     assert len(rows) == 500 and {r["count"] for r in rows} == {20}
     # 10,000 rows of the lists moved before
     assert _shuffled_records(spark) - before < 4_000
+
+
+def test_pairs_of_sources_are_columns(spark):
+    from itertools import combinations
+
+    from feedloom import values as V
+    from feedloom.operators import mixing
+
+    rows = [(u, i, V.SOURCES[(u * i + k) % 7]) for u in range(5) for i in range(6) for k in range(u % 3 + 1)] + [(9, 1, V.SOURCES[0])]
+    df = spark.createDataFrame(rows + rows[:7], "user_id long, item_id long, source string")
+    out = mixing.source_overlap(df)
+    assert not any("left" in line for line in _shuffles(out))
+    got = {(r["left"], r["right"]): (r["users"], r["jaccard"]) for r in out.collect()}
+    users = {u for u, _, _ in rows}
+    of = {(u, s): {i for v, i, x in rows if (v, x) == (u, s)} for u in users for s in V.SOURCES}
+    for a, b in combinations(sorted(V.SOURCES), 2):
+        shares = [len(of[u, a] & of[u, b]) / len(of[u, a] | of[u, b]) if of[u, a] | of[u, b] else 0.0 for u in users]
+        assert got[a, b] == (len(users), pytest.approx(sum(shares) / len(shares)))
+    assert mixing.source_overlap(df.limit(0)).isEmpty()
