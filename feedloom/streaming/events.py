@@ -51,9 +51,8 @@ def stream_conflicts(events: DataFrame) -> DataFrame:
 
 
 def stream_validate(events: DataFrame, exposures: DataFrame) -> DataFrame:
-    """Stream-static join: events that name a persisted exposure of that user."""
-    known = exposures.select(*B.EVENT_KEY).distinct()
-    return events.join(known, list(B.EVENT_KEY), "inner")
+    """Stream-static join: events that name a persisted exposure of that user. Every micro-batch reads ``exposures`` anew."""
+    return events.join(exposures.select(*B.EVENT_KEY), list(B.EVENT_KEY), "left_semi")
 
 
 def stream_state(events: DataFrame) -> DataFrame:

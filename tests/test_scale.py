@@ -184,3 +184,13 @@ def test_pairs_of_sources_are_columns(spark):
         shares = [len(of[u, a] & of[u, b]) / len(of[u, a] | of[u, b]) if of[u, a] | of[u, b] else 0.0 for u in users]
         assert got[a, b] == (len(users), pytest.approx(sum(shares) / len(shares)))
     assert mixing.source_overlap(df.limit(0)).isEmpty()
+
+
+def test_exposures_of_a_stream_are_not_grouped_per_batch(spark):
+    from feedloom.streaming import events as S
+
+    exposures = spark.createDataFrame([(1, 2, 3, 0), (1, 2, 3, 0), (4, 5, 6, None)], "request_id long, user_id long, item_id long, position int")
+    rows = spark.createDataFrame([("a", 1, 2, 3, 0), ("b", 1, 2, 3, 1), ("c", 4, 5, 6, None)], "event_id string, request_id long, user_id long, item_id long, position int")
+    out = S.stream_validate(rows, exposures)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["event_id"] for r in out.collect()] == ["a"]
