@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
-from .evaluation import ranking_metrics
+from ..functions.exprs import score_key
+from .evaluation import mean_metrics, query_shares
 from .merge import rank_normalize
 
 SCOPES = ("sampled_all_items", "warm", "cold")
@@ -16,23 +17,38 @@ def fusion_policies() -> list[tuple[str, float]]:
     return [("text_only", 0.0), ("visual_only", 1.0), *[(f"static_{w:g}", w) for w in V.FUSION_WEIGHTS]]
 
 
-def fusion_metrics(rows: DataFrame) -> DataFrame:
+def fusion_metrics(rows: DataFrame, k: int = V.METRIC_K) -> DataFrame:
     """Metrics per policy and scope from one ranking of text and visual scores.
 
     ``rows``: user_id, item_id, label, text_score, visual_score, is_cold. Warm and cold scopes keep
-    the negatives of a query and only its warm or cold positives.
+    the negatives of a query and only its warm or cold positives. A policy orders the user's rows once; a positive's rank
+    in a scope is its rank among all rows less the positives before it that the scope leaves out, so only positives
+    become rows per policy and scope.
     """
     ranked = rank_normalize(rank_normalize(rows, "text_score", "text_rank"), "visual_score", "visual_rank")
-    policies = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(w).alias("weight")) for n, w in fusion_policies()])
-    scopes = F.when(
-        F.col("label") == 1, F.array(F.lit(SCOPES[0]), F.when(F.col("is_cold"), SCOPES[2]).otherwise(SCOPES[1]))
-    ).otherwise(F.array(*[F.lit(s) for s in SCOPES]))
-    scored = (
-        ranked.withColumn("p", F.explode(policies))
-        .withColumn("score", (1.0 - F.col("p.weight")) * F.col("text_rank") + F.col("p.weight") * F.col("visual_rank"))
-        .select("user_id", "item_id", "label", "score", "p.policy", "p.weight", F.explode(scopes).alias("scope"))
+    positive, cold = F.col("label") == 1, F.coalesce("is_cold", F.lit(False))
+    scope = F.when(cold, SCOPES[2]).otherwise(SCOPES[1])
+    cells = []
+    for i, (policy, weight) in enumerate(fusion_policies()):
+        score = (1.0 - weight) * F.col("text_rank") + weight * F.col("visual_rank")
+        order = Window.partitionBy("user_id").orderBy(score_key(score).desc(), "item_id")
+        before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = ranked.withColumns({
+            f"__r{i}": F.row_number().over(order),
+            f"__w{i}": F.sum((positive & ~cold).cast("int")).over(before),
+            f"__c{i}": F.sum((positive & cold).cast("int")).over(before),
+        })
+        inside = F.col(f"__r{i}") - F.when(cold, F.col(f"__w{i}")).otherwise(F.col(f"__c{i}"))
+        for name, rank in ((F.lit(SCOPES[0]), F.col(f"__r{i}")), (scope, inside)):
+            cells.append(F.struct(F.lit(policy).alias("policy"), F.lit(weight).alias("weight"), name.alias("scope"), rank.cast("bigint").alias("rank")))
+    keys = ["policy", "weight", "scope"]
+    placed = ranked.filter(positive).select("user_id", F.inline(F.array(*cells)))
+    per_query = placed.groupBy(*keys, "user_id").agg(
+        F.count_if(F.col("rank") <= k).alias("hits"),
+        F.count(F.lit(1)).alias("positives"),
+        F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("gain"),
     )
-    return ranking_metrics(scored, ["policy", "weight", "scope"])
+    return mean_metrics(query_shares(per_query, keys, k), keys)
 
 
 def fusion_selection(metrics: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from feedloom import values as V
-from feedloom.operators import mixing
+from feedloom.operators import evaluation, fusion, merge, mixing
 from feedloom.plans.catalog import load
 from feedloom.sources.tables import Tables
 
@@ -230,3 +230,24 @@ def test_caps_look_at_heads_only():
         mixing.capped_order(long, 500, V.SOURCE_CAPS_AT_10)
     # 0.1 s; passing over the list for every window took 5 s
     assert time.process_time() - began < 1.5
+
+
+def test_only_positives_become_rows_per_policy_and_scope(spark):
+    rng = random.Random(5)
+    rows = [(u, i, int(rng.random() < 0.2), rng.randint(0, 9) / 10, rng.random(), rng.random() < 0.5) for u in range(40) for i in range(rng.randint(3, 40))]
+    names = ["user_id", "item_id", "label", "text_score", "visual_score", "is_cold"]
+    found = fusion.fusion_metrics(spark.createDataFrame(rows, names))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
+
+    ranked = spark.createDataFrame(rows, names)
+    for score in ("text", "visual"):
+        ranked = merge.rank_normalize(ranked, f"{score}_score", f"{score}_rank")
+    for policy, weight in fusion.fusion_policies():
+        for scope in fusion.SCOPES:
+            kept = (F.col("label") == 0) | F.lit(scope == "sampled_all_items") | (F.col("is_cold") == (scope == "cold"))
+            scored = ranked.filter(kept).withColumn("score", (1.0 - weight) * F.col("text_rank") + weight * F.col("visual_rank"))
+            if policy in ("text_only", "static_0.17"):
+                want = evaluation.ranking_metrics(scored).first()
+                got = found.filter((F.col("policy") == policy) & (F.col("scope") == scope)).first()
+                assert [got[c] for c in want.asDict()] == pytest.approx(list(want)), (policy, scope)
