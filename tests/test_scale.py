@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from feedloom import values as V
-from feedloom.operators import evaluation, fusion, merge, mixing
+from feedloom.operators import behaviour, evaluation, fusion, merge, mixing
 from feedloom.plans.catalog import load
 from feedloom.sources.tables import Tables
 
@@ -251,3 +251,16 @@ def test_only_positives_become_rows_per_policy_and_scope(spark):
                 want = evaluation.ranking_metrics(scored).first()
                 got = found.filter((F.col("policy") == policy) & (F.col("scope") == scope)).first()
                 assert [got[c] for c in want.asDict()] == pytest.approx(list(want)), (policy, scope)
+
+
+def test_context_events_do_not_meet_the_budget(spark):
+    rng = random.Random(9)
+    kinds = ["impression", "click", "like", "share", "dwell", "not_interested"]
+    rows = [(f"e{i}", rng.choice(kinds[: rng.choice((5, 6))]), rng.randint(1, 12), rng.randint(1, 9), rng.randint(1, 40000), i * 3600000) for i in range(900)]
+    events = behaviour.classify_feedback(spark.createDataFrame(rows, ["event_id", "event_type", "user_id", "item_id", "dwell_ms", "received_ms"]))
+    slim = behaviour.budget_events(events)
+    assert slim.filter("disposition = 'context'").isEmpty() and slim.count() < 900
+    kept = behaviour.positive_feedback(slim)
+    names = ["user_id", "item_id", "received_ms", "disposition"]
+    whole = behaviour.capped_feedback(events).filter(F.col("disposition") == "positive").select(*names)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.collect())) != []
