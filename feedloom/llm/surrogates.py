@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import by_size, flagged, materialise
 
+#: Bits of the broadcast bitmap of texts that hold an entity.
+FOUND_BITS = 1 << 24
+
 # Titles with the gender they tell, and given names by script and gender.
 TITLES = {
     "m": "Mr Herr Señor Sr Monsieur Signor Господин Кύριος".split(),
@@ -246,9 +249,11 @@ def replace_entities(docs: DataFrame, key: bytes, ident: str = "doc_id", text: s
                 [batch.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([t for t, _ in out], pa.string())], names=["k", "n", "t"]
             )
 
-    marked = flagged(inner, "at", later.select("at"), "meets")
+    # texts without an entity stay as they are and are not searched again
+    marked = flagged(flagged(inner, "at", found.select("at").distinct(), "holds", FOUND_BITS), "at", later.select("at"), "meets")
     none = F.lit(None).cast("array<struct<kind:string,normal:string,attempt:int>>")
-    apart = marked.filter(~F.col("meets")).select("k", "t", none.alias("later"))
-    meeting = marked.filter("meets").join(later, "at", "left").select("k", "t", "later")
+    plain = marked.filter(~F.col("holds")).select("k", F.lit(0).cast("bigint").alias("n"), "t")
+    apart = marked.filter(F.col("holds") & ~F.col("meets")).select("k", "t", none.alias("later"))
+    meeting = marked.filter("holds AND meets").join(later, "at", "left").select("k", "t", "later")
     cells = f"k {kind}, n bigint, t string"
-    return apart.mapInArrow(rewrite, cells).unionByName(meeting.mapInArrow(rewrite, cells)).toDF(ident, "n_entities", "text")
+    return plain.unionByName(apart.mapInArrow(rewrite, cells)).unionByName(meeting.mapInArrow(rewrite, cells)).toDF(ident, "n_entities", "text")
