@@ -133,6 +133,46 @@ def test_truncated_svd_matches_numpy(spark):
     assert abs(np.linalg.norm(dense - got) - np.linalg.norm(dense - want)) < 1e-3
 
 
+def test_products_are_the_same_in_every_shape(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for height, width in ((40, 25), (25, 40)):
+        dense = (rng.random((height, width)) < 0.4) * rng.random((height, width))
+        rows = [(i * 3, j * 5, float(dense[i, j])) for i in range(height) for j in range(width) if dense[i, j]]
+        df = spark.createDataFrame(rows, "user_id long, item_id long, weight double").repartition(3)
+        pairs = df.select("user_id", "item_id")
+        found = []
+        for narrow in (1 << 16, 1):
+            monkeypatch.setattr(factors, "NARROW", narrow)
+            users, items = factors.svd_factors(df, 4)
+            u = {r["user_id"]: np.array(r["weights"]) for r in users.collect()}
+            v = {r["item_id"]: np.array(r["weights"]) for r in items.collect()}
+            got = np.array([[u[i * 3] @ v[j * 5] for j in range(width)] for i in range(height)])
+            mse = np.mean([(1 - round(float(u[i] @ v[j]), 9)) ** 2 for i, j, _ in rows])
+            assert abs(factors.observed_error(pairs, users, items).first()["mse"] - mse) < 1e-9
+            found.append(got)
+        assert np.abs(found[0] - found[1]).max() < 1e-9
+        u, s, v = np.linalg.svd(dense)
+        assert abs(np.linalg.norm(dense - found[0]) - np.linalg.norm(dense - u[:, :4] * s[:4] @ v[:4])) < 1e-3
+
+
+def test_products_make_no_row_per_entry(spark):
+    rows = [(i, (i * 7 + k * k * 31) % 400, 1.0) for i in range(400) for k in range(3)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, weight double")
+    before = _rows_read(spark)
+    factors.svd_factors(df, 4)[0].collect()
+    # a few passes over the entries to pack them; the products read packed rows
+    assert _rows_read(spark) - before < 8 * len(rows)
+
+
+def _rows_read(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
 def test_svd_recall_adds_the_feedback_cosine(spark):
     users = spark.createDataFrame([(1, [1.0, 0.0])], "user_id long, weights array<double>")
     items = spark.createDataFrame([(1, [0.5, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])], "item_id long, weights array<double>")
