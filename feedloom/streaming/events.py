@@ -240,6 +240,110 @@ def drain_alerts(
     return spark.read.schema(opened.schema).parquet(f"{root}/events/{last}")
 
 
+class Fold:
+    """A table kept by a stream: ``rows`` makes state rows of events, ``merge`` combines state rows with each other, in any
+    order, and ``finish`` reads the result from them."""
+
+    def __init__(self, rows: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame]):
+        self.rows, self.merge, self.finish = rows, merge, finish
+
+
+def _current_rows(events: DataFrame) -> DataFrame:
+    return events.select(
+        *B.EVENT_KEY, "event_type", F.struct("received_ms", "event_id").alias("first"), "dwell_ms",
+        F.col("received_ms").alias("last_ms"), F.lit(1).cast("bigint").alias("n"),
+    )
+
+
+def _merge_current(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*B.EVENT_KEY, "event_type").agg(
+        F.min("first").alias("first"), F.max("dwell_ms").alias("dwell_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n")
+    )
+
+
+def _finish_current(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("first.event_id").alias("event_id"), "event_type", *B.EVENT_KEY, "dwell_ms", F.col("first.received_ms").alias("received_ms"),
+        "last_ms", (F.col("n") - 1).alias("repeats"),
+    )
+
+
+#: Rows of ``stream_dedup``, by merging.
+CURRENT = Fold(_current_rows, _merge_current, _finish_current)
+
+
+def _id_rows(events: DataFrame) -> DataFrame:
+    payload = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in B.PAYLOAD]), 256)
+    digest = events.select("event_id", payload.alias("__p"))
+    # 120 bits of the digest, as numbers
+    words = [F.conv(F.substring("__p", 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"p{i}") for i in range(2)]
+    return digest.select("event_id", *words, F.lit(False).alias("mixed"), F.lit(1).cast("bigint").alias("deliveries"))
+
+
+def _merge_ids(rows: DataFrame) -> DataFrame:
+    differ = (F.min("p0") != F.max("p0")) | (F.min("p1") != F.max("p1"))
+    return rows.groupBy("event_id").agg(
+        F.min("p0").alias("p0"), F.min("p1").alias("p1"), (F.max("mixed") | differ).alias("mixed"), F.sum("deliveries").alias("deliveries")
+    )
+
+
+def _finish_ids(rows: DataFrame) -> DataFrame:
+    return rows.filter("mixed").select("event_id", "deliveries")
+
+
+#: Rows of ``stream_conflicts``, by merging.
+CONFLICTS = Fold(_id_rows, _merge_ids, _finish_ids)
+
+
+def _pair_rows(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") != "revisit").select(*B.EVENT_KEY, "event_type", "dwell_ms", F.col("received_ms").alias("last_ms"))
+
+
+def _merge_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*B.EVENT_KEY, "event_type").agg(F.max("dwell_ms").alias("dwell_ms"), F.max("last_ms").alias("last_ms"))
+
+
+def _finish_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "item_id").agg(*B.state_aggregates())
+
+
+#: Rows of ``stream_state``, by merging: the state is the distinct events, so no row grows with its pair.
+PAIRS = Fold(_pair_rows, _merge_pairs, _finish_pairs)
+
+
+#: Every so many micro-batches the parts of a folded table become one.
+MERGE_EVERY = 8
+
+
+def drain_fold(stream: DataFrame, fold: Fold, arrivals: Iterable[Callable[[], object]] = NOTHING) -> DataFrame:
+    """Fold everything available into a table, micro-batch by micro-batch, and return what it gives at the end.
+
+    The state is a table, not an operator's store: every micro-batch merges its rows and writes them under its number,
+    every ``MERGE_EVERY``-th one together with the parts before it, and readers merge the parts there are. These are ordinary
+    shuffles that may spill: no task holds its share of all keys on the heap, a restart loads nothing, and a
+    replayed micro-batch overwrites its own part only.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark).rstrip('/')}/feedloom-fold-{uuid.uuid4().hex}"
+    empty = fold.merge(fold.rows(spark.createDataFrame([], stream.schema)))
+    last = -1
+
+    def parts(number: int) -> DataFrame:
+        first = max(0, (number + 1) // MERGE_EVERY * MERGE_EVERY - 1)
+        return spark.read.schema(empty.schema).parquet(*[f"{root}/state/{i}" for i in range(first, number + 1)])
+
+    def write(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        rows = fold.rows(batch)
+        if number and (number + 1) % MERGE_EVERY == 0:
+            rows = parts(number - 1).unionByName(rows)
+        fold.merge(rows).write.mode("overwrite").parquet(f"{root}/state/{number}")
+        last = number
+
+    _run(stream, "append", write, root, arrivals)
+    return fold.finish(empty if last < 0 else fold.merge(parts(last)))
+
+
 def latest_update(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Current rows of an update-mode stream: the newest batch per key."""
     names = [c for c in updates.columns if c not in (*keys, "batch_number")]

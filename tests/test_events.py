@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import behaviour as B
 from feedloom.operators import operations as O
+from feedloom.session import shared_dir
 from feedloom.sources import files, sinks
 from feedloom.streaming import events as S
 
@@ -106,6 +109,29 @@ def test_streams_equal_batch_over_repeats(spark, tmp_path):
     assert [(r["event_id"], r["deliveries"]) for r in conflicts.collect()] == [("l1", 2)]
 
 
+@pytest.mark.parametrize("every", [2, 8])
+def test_folded_streams_equal_batch_and_keep_no_operator_state(spark, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(S, "MERGE_EVERY", every)
+    everything = _events(spark, [r for part in DELIVERED for r in part])
+
+    def folded(name, fold):
+        stream, arrivals = _arrivals(spark, str(tmp_path / name), DELIVERED)
+        return S.drain_fold(stream, fold, arrivals)
+
+    def same(got, want):
+        columns = sorted(want.columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+    shared = Path(shared_dir(spark))
+    known = set(shared.glob("feedloom-*/checkpoint/state"))
+    same(folded("dedup", S.CURRENT), B.deduplicate(everything))
+    same(B.finish_state(folded("pairs", S.PAIRS)), B.user_item_state(everything))
+    same(folded("ids", S.CONFLICTS), B.id_conflicts(everything))
+    assert set(shared.glob("feedloom-*/checkpoint/state")) == known
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "empty"))
+    assert S.drain_fold(S.read_stream(spark, everything.schema, str(tmp_path / "empty")), S.CONFLICTS).count() == 0
+
+
 def test_late_rows_are_those_behind_the_watermark(spark, tmp_path):
     stream, arrivals = _arrivals(spark, str(tmp_path / "late"), DELIVERED)
     late = S.drain_late(stream, 1000, arrivals=arrivals)
