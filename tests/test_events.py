@@ -34,6 +34,18 @@ def test_state_in_closed_form(spark):
     assert got[2]["affinity"] == -4.0 and got[2]["not_interested"] == 1
 
 
+def test_profile_summary_holds_both_item_lists(spark):
+    liked = [(f"c{i}", "click", 1, 1, i, 0, None, 1000 + i) for i in range(25)]
+    more = [("l7", "like", 1, 1, 7, 0, None, 5000), ("n40", "not_interested", 1, 1, 40, 0, None, 6000), ("i1", "impression", 2, 2, 5, 0, None, 9)]
+    got = {r["user_id"]: r for r in B.profile_summary(B.user_item_state(_events(spark, liked + more))).collect()}
+    one = got[1]
+    assert (one["clicks"], one["likes"], one["not_interested"], one["updated_ms"]) == (25, 1, 1, 6000)
+    # strongest first, then latest; twenty at most
+    assert [tuple(x) for x in one["positive_items"]] == [(7, 4.0)] + [(i, 1.0) for i in range(24, 4, -1) if i != 7]
+    assert [tuple(x) for x in one["negative_items"]] == [(40, -4.0)]
+    assert got[2]["positive_items"] == [] and got[2]["negative_items"] == [] and got[2]["impressions"] == 1
+
+
 def test_visits_count_earlier_requests(spark):
     got = {r["event_id"]: r["visit_index"] for r in B.visits(_events(spark, ROWS)).collect()}
     assert got == {"i1": 1, "i2": 2}
