@@ -53,3 +53,15 @@ def test_dense_index_is_a_permutation(spark):
     got = {r["item_id"]: r["item_index"] for r in grouping.dense_index(df, "item_id").collect()}
     assert sorted(got.values()) == list(range(6))
     assert [i for i, _ in sorted(got.items(), key=lambda e: e[1])] == sorted(ids, key=lambda i: (i % 1024, i))
+
+
+def test_values_of_one_group_are_made_once_and_not_joined_by_a_constant(spark):
+    df = spark.range(2000).select((F.col("id") * 7 % 1000).cast("double").alias("x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = grouping.order_statistics(df, "x", [("p50", 0.5, "linear"), ("p95", 0.95, "linear")])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "Range" not in plan
+    assert (found.first()["n"], found.first()["p50"]) == (2000, 499.5)
