@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import values as V
-from feedloom.operators import evaluation, feeds, fusion, merge, mixing, training
+from feedloom.operators import evaluation, feeds, fusion, merge, mixing, popularity, training
 
 
 def test_caps_limit_each_window_and_refill_only_when_short():
@@ -245,6 +245,35 @@ def test_three_feeds_with_their_reasons(spark):
     assert {r["fallback_reason"] for r in rows if r["feed_type"] != "personalized"} == {None}
 
 
+def test_offline_rows_leave_before_the_cut(spark):
+    items = spark.createDataFrame([(i, "offline" if i in (3, 5) else "online") for i in range(1, 10)], "item_id long, status string")
+    rows = feeds.feed_lists(*_feed_inputs(spark), 3, items).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault((r["user_id"], r["feed_type"]), []).append(r["item_id"])
+    assert got[1, "personalized"] == [1, 2, 7] and got[1, "popular"] == [7, 8] and got[1, "explore"] == [7, 8]
+    assert got[2, "personalized"] == [6, 7, 8] and got[3, "popular"] == [4, 6, 7] and got[3, "explore"] == [6, 7, 8]
+
+
+def test_pools_are_as_deep_as_a_user_needs(spark):
+    needs = spark.createDataFrame([(1, 3), (2, 9), (3, 40)], "user_id long, n long")
+    features = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(1, 31)], "item_id long, decay double, cumulative double")
+    order = [i for i in sorted(range(1, 31), key=lambda i: (-round(i % 7 + 1e-6 * i, 9), str(i)))]
+    got = {}
+    for r in popularity.popular_walk(needs, features).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    assert got == {1: order[:3], 2: order[:9], 3: order}
+    counts = spark.createDataFrame([(i, i // 4) for i in range(1, 31)], "item_id long, exposure_count long")
+    rows = popularity.explore_walk(needs, counts, 7).collect()
+    pool = sorted(range(1, 31), key=lambda i: (i // 4, str(i)))
+    for user, n in ((1, 3), (2, 9), (3, 40)):
+        own = [r["item_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["user_id"] == user]
+        assert len(own) == min(n, 30) == len(set(own)) and set(own) <= set(pool[: 2 * n])
+    # the same draws as the recall that is equally deep for all
+    same = popularity.explore_recall(needs.filter("user_id = 2"), counts, 7, 9).collect()
+    assert [r["item_id"] for r in sorted(same, key=lambda r: r["rank"])] == [r["item_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["user_id"] == 2]
+
+
 def test_snapshots_of_all_feeds(spark):
     users, *sources = _feed_inputs(spark)
     lists = feeds.feed_lists(users, *sources, 3)

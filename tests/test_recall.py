@@ -211,3 +211,18 @@ def test_recall_plans_hold_no_product_of_all_rows(spark):
     plan = item_cf.cf_recall(item_cf.cf_weights(df), neighbors, 10)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_skipped_pairs_make_room_for_the_next_best(spark):
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(7, 4)), rng.normal(size=(30, 4))
+    users = spark.createDataFrame([(u, [float(x) for x in left[u]]) for u in range(7)], "user_id long, weights array<double>")
+    items = spark.createDataFrame([(i, [float(x) for x in right[i]]) for i in range(30)], "item_id long, weights array<double>")
+    out = {(u, int(i)) for u in range(5) for i in np.argsort(-(right @ left[u]))[: 2 * u]} | {(0, 999)}
+    skip = spark.createDataFrame(sorted(out), "user_id long, item_id long")
+    for block in (None, 8):
+        got = {}
+        for r in vectors.top_items_per_user(users, items, 5, item_block=block, skip=skip).orderBy("user_id", "rank").collect():
+            got.setdefault(r["user_id"], []).append(r["item_id"])
+        for u in range(7):
+            assert got[u] == [i for i in np.argsort(-(right @ left[u])) if (u, i) not in out][:5]
