@@ -264,3 +264,11 @@ def test_context_events_do_not_meet_the_budget(spark):
     names = ["user_id", "item_id", "received_ms", "disposition"]
     whole = behaviour.capped_feedback(events).filter(F.col("disposition") == "positive").select(*names)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
+def test_every_scorer_is_evaluated_on_the_same_queries(spark):
+    rows = {r["scorer"]: r for r in load()["evaluate_sources"].build(Tables(spark, entry.SMOKE_DIR)).collect()}
+    policies = {V.SAFE_POLICY, V.DYNAMIC_POLICY}
+    assert set(rows) == {"popular", "random", "item_cf", "content", "svd", "svd_content_fallback", "hybrid_all_sources"} | policies
+    assert len({(r["queries"], r["positives"]) for r in rows.values()}) == 1
+    assert rows["hybrid_all_sources"]["ndcg"] in {rows[p]["ndcg"] for p in policies}
