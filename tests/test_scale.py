@@ -272,3 +272,33 @@ def test_every_scorer_is_evaluated_on_the_same_queries(spark):
     assert set(rows) == {"popular", "random", "item_cf", "content", "svd", "svd_content_fallback", "hybrid_all_sources"} | policies
     assert len({(r["queries"], r["positives"]) for r in rows.values()}) == 1
     assert rows["hybrid_all_sources"]["ndcg"] in {rows[p]["ndcg"] for p in policies}
+
+
+def test_a_title_travels_in_few_bytes(spark):
+    """Codes of a title's few factors stand for its weights; other vectors keep their weights."""
+    import numpy as np
+
+    from feedloom.operators import content
+
+    rng = np.random.default_rng(4)
+    idf = 1.0 + np.log(rng.uniform(1, 500, 8192))
+    for size in (1, 67, 900):
+        ids = np.sort(rng.choice(8192, size, replace=False))
+        weights = (1.0 + np.log(rng.integers(1, 5, size))) * idf[ids]
+        weights /= np.sqrt(weights @ weights)
+        blob = content._blob(ids, weights, idf)
+        back, same = content._unblob(blob, idf)
+        assert (back == ids).all() and np.abs(same / weights - 1).max() < 1e-11
+        assert len(blob) < 0.4 * len(content._blob(ids, weights, None)) or size == 1
+    other = rng.uniform(size=900)
+    back, same = content._unblob(content._blob(ids, other, idf), idf)
+    assert (back == ids).all() and (same == other).all()
+    items = spark.createDataFrame([(i, f"red box number {i} box") for i in range(40)], "item_id long, title string")
+    terms = content.title_terms(items)
+    vocab = content.vocabulary(terms, items, items)
+    vectors = content.item_vectors(terms, vocab)
+    weights = spark.createDataFrame([(u, (u * 7 + k) % 40, 1.0 + k) for u in range(9) for k in range(5)], "user_id long, item_id long, w double")
+    pairs = weights.select("user_id", ((F.col("item_id") + 3) % 40).alias("item_id"))
+    plain, packed = (content.pair_dots(pairs, content.content_profiles(weights, vectors, v), vectors, v) for v in (None, vocab))
+    a, b = ({(r["user_id"], r["item_id"]): r["score"] for r in x.collect()} for x in (plain, packed))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12 and max(a.values()) > 0
