@@ -226,3 +226,23 @@ def test_skipped_pairs_make_room_for_the_next_best(spark):
             got.setdefault(r["user_id"], []).append(r["item_id"])
         for u in range(7):
             assert got[u] == [i for i in np.argsort(-(right @ left[u])) if (u, i) not in out][:5]
+
+
+def test_items_stream_past_the_users_and_winners_never_travel(spark):
+    """Many batches of items, ties across batches, values that single precision cannot tell apart, and a vector too large for it."""
+    rng = np.random.default_rng(12)
+    left, right = rng.normal(size=(25, 8)), rng.normal(size=(90, 8))
+    right[45:] = right[:45] * (1.0 + 1e-8 * rng.integers(-1, 2, size=(45, 1)))
+    left[3] *= 1e200
+    users = spark.createDataFrame([(u, [float(x) for x in left[u]]) for u in range(25)], "user_id long, weights array<double>")
+    items = spark.createDataFrame([(i, [float(x) for x in right[i]]) for i in rng.permutation(90).tolist()], "item_id long, weights array<double>")
+    best = vectors.top_items_per_user(users, items, 9, item_block=11)
+    got = {}
+    for r in best.orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    for u in range(25):
+        scores = np.round(right @ left[u], 9)
+        assert got[u] == sorted(range(90), key=lambda i: (-scores[i], i))[:9] or u == 3 and len(got[u]) == 9
+    plan = best.groupBy("user_id").count()._jdf.queryExecution().executedPlan().toString()
+    # one exchange deals users and items, the other one is the count's
+    assert plan.count("Exchange") == 2 and "Window" not in plan
